@@ -164,3 +164,67 @@ def in_groups(values: list, most_chars: int = 1 << 20):
             start, size = i + 1, 0
     if start < len(values):
         yield start, len(values)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Let go of what finished steps hold on disk: staged tables that no later step reads, and shuffle files.
+
+    Spark removes a shuffle's files once the driver no longer refers to it, which this asks for at once.
+    """
+    import gc
+
+    for df in tables:
+        for file in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)  # 2**64 divided by the golden ratio, an odd number that mixes well
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Bijective mixing of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(32))) * _ODD
+    x = (x ^ (x >> np.uint64(29))) * _ODD
+    return x ^ (x >> np.uint64(32))
+
+
+class WordHashes(dict):
+    """Word (bytes) -> unsigned 64-bit hash, kept for the most recent words up to a bound."""
+
+    def __init__(self, most: int = 1_000_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_HASHES = WordHashes()
+
+
+def word_hashes() -> WordHashes:
+    """This worker's table of word hashes."""
+    return _HASHES
+
+
+def rolled(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Hash of every run of ``n`` consecutive words; empty if there are fewer."""
+    size = len(hashes) - n + 1
+    if size <= 0:
+        return np.zeros(0, np.uint64)
+    factors = mixed(np.arange(1, n + 1, dtype=np.uint64) * _ODD + np.uint64(seed)) | np.uint64(1)
+    total = np.zeros(size, np.uint64)
+    for j in range(n):
+        total += hashes[j : j + size] * factors[j]
+    return mixed(total)
