@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import similarity_classes
+from .license import scan_licenses
 from .packing import pack
 from .substring import remove_repeats
 from .token_files import token_files
@@ -38,8 +39,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_license_scan": op5_license_scan,
     "op7_token_files": op7_token_files,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
