@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import find_leaks
 from .jaccard import similarity_classes
+from .langid import document_items, identify, page_items
 from .license import scan_licenses
 from .packing import pack
 from .substring import remove_repeats
@@ -43,11 +45,26 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(document_items(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(page_items(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_license_scan": op5_license_scan,
     "op7_token_files": op7_token_files,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_language_id": op9_language_id,
+    "page_languages": page_languages,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
