@@ -12,6 +12,8 @@ from .langid import document_items, identify, page_items
 from .license import scan_licenses
 from .packing import pack
 from .substring import remove_repeats
+from .pii import replace_entities
+from .quality import score_quality
 from .token_files import token_files
 
 
@@ -57,10 +59,20 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(page_items(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "kinds")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality": op4_quality,
     "op5_license_scan": op5_license_scan,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_token_files": op7_token_files,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
