@@ -11,6 +11,7 @@ from .jaccard import similarity_classes
 from .langid import document_items, identify, page_items
 from .license import scan_licenses
 from .packing import pack
+from .search import search
 from .substring import remove_repeats
 from .pii import replace_entities
 from .quality import score_quality
@@ -47,6 +48,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +74,7 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bm25_search": op1_bm25_search,
     "op2_decontamination": op2_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality": op4_quality,

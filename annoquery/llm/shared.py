@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -228,3 +229,18 @@ def rolled(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
     for j in range(n):
         total += hashes[j : j + size] * factors[j]
     return mixed(total)
+
+
+_SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
+_SPACED = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Lower-case words: runs of anything but ASCII marks and white space."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
+
+
+def without(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` less those whose ``doc_id`` is in ``ids``; the ids are broadcast while they are few, else both sides are shuffled."""
+    ids = staged(ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_anti").select(*docs.columns)

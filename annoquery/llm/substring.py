@@ -176,24 +176,42 @@ def repeated_windows(docs: DataFrame, window: int = 13, gram: int = 4, batches:
     return repeats
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 4, batches: int = 3) -> DataFrame:
-    """Per document: words, words removed, and the kept words joined by one space, with their digest."""
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of the documents whose whole text a document of smaller ``doc_id`` has."""
+    named = docs.where("doc_id is not null").select("doc_id", "text_hash", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    named = staged(named, "named")
+    first = named.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return staged(named.join(first, "sha").where("doc_id > first").select("doc_id", "text_hash").distinct(), "copies")
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 4, batches: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
+    """Per document: words, words removed, and the kept words joined by one space, with their digest.
+
+    All windows of a later copy of a whole text are repeats, so such copies skip the index. They are taken out by a
+    broadcast of their ids while there are at most ``broadcast_rows`` (16 bytes each), by a shuffled join beyond.
+    """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    per_doc = repeated_windows(keyed, window, gram, batches).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("starts"))
+    copies = later_copies(keyed)
+    few = copies.count() <= broadcast_rows
+    others = keyed.join(F.broadcast(copies) if few else copies, ["doc_id", "text_hash"], "left_anti")
+    release(docs.sparkSession)
+    starts = repeated_windows(others, window, gram, batches).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("starts"))
+    per_doc = starts.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "text_hash", F.array().cast("array<int>"), F.lit(True)))
 
     def cut(batches_):
         for batch in batches_:
             rows, kept = [], []
-            for key, text, starts in zip(*(batch.column(c) for c in range(3))):
+            for key, text, starts, copy in zip(*(batch.column(c) for c in range(4))):
                 words = words_of(text.as_py())
                 n = len(words)
-                if starts.is_valid:
+                if copy.as_py():
+                    words = words if n < window else []
+                elif starts.is_valid:
                     edge = np.zeros(n + 1, np.int64)
                     at = np.asarray(starts.values)
                     edge[at] += 1
                     np.subtract.at(edge, at + window, 1)
-                    stay = np.flatnonzero(np.cumsum(edge[:n]) == 0)
-                    words = [words[i] for i in stay]
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
                 whole = b" ".join(words)
                 rows.append((key.as_py(), n, n - len(words), hashlib.sha256(whole).hexdigest()))
                 kept.append(whole.decode("utf-8", "surrogatepass"))
@@ -201,5 +219,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 4, batches: in
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = keyed.join(per_doc, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts")
+    joined = keyed.join(per_doc, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts", "copy")
     return joined.mapInArrow(cut, f"{DIGEST}, kept_text string")
