@@ -170,7 +170,7 @@ def repeated_windows(docs: DataFrame, window: int = 13, gram: int = 4, batches:
     release(spark, marks, *index.runs)
     found = staged(_verified_windows(docs, hits, window, gram), "windows")
     release(spark, hits)
-    first = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
     repeats = staged(found.join(first, ["w1", "w2"]).where("doc_id > first").select("doc_id", "text_hash", "pos"), "repeats")
     release(spark, found)
     return repeats
