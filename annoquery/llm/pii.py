@@ -28,7 +28,7 @@ from .shared import release, staged
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9]{20,}\b"),
-    ("password", r"(?i:\b(?:password|passwd|pwd|secret|token|api_key))\s*[=:]\s*[^\s,;]+"),
+    ("password", r"(?i:\b(?:password|passwd|pwd|secret|token|api_key))[ \t]*[=:][ \t]*[^\s,;]+"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
     ("card", r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)"),
     ("national", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
@@ -37,6 +37,9 @@ PATTERNS = [
 ]
 _FIND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
 
+#: Every mention has one of these in its line, and no mention crosses a line; other lines are passed over.
+_TRIGGER = re.compile(r"[@0-9=:]|AKIA|ASIA|gh[pousr]_|sk-")
+
 # Titles by gender, and given names by gender and script.
 MALE, FEMALE = {"Mr", "Herr", "Monsieur", "Señor"}, {"Mrs", "Ms", "Miss", "Frau", "Madame", "Señora"}
 GIVEN = {
@@ -55,7 +58,7 @@ def canonical(kind: str, mention: str) -> str:
     if kind in ("phone", "card", "national"):
         return re.sub(r"\D", "", mention)
     if kind == "password":
-        return re.split(r"\s*[=:]\s*", mention, maxsplit=1)[1]
+        return re.split(r"[ \t]*[=:][ \t]*", mention, maxsplit=1)[1]
     if kind == "person":
         return mention.split(" ", 1)[1]
     return mention.lower() if kind == "email" else mention
@@ -133,9 +136,23 @@ def surrogate(kind: str, entity: str, gender: str, key: bytes, attempt: int = 0)
     return _alike(entity, stream)
 
 
+def _found(text: str):
+    """Matches of all patterns, looked for only in lines with a trigger or a title."""
+    titled = [t for t in (*MALE, *FEMALE) if t in text]
+    if not titled and not _TRIGGER.search(text):
+        return
+    start = 0
+    while start <= len(text):
+        end = text.find("\n", start)
+        end = len(text) if end < 0 else end
+        if _TRIGGER.search(text, start, end) or any(text.find(t, start, end) >= 0 for t in titled):
+            yield from _FIND.finditer(text, start, end)
+        start = end + 1
+
+
 def mentions(text: str):
     """(kind, gender, start, end, canonical form) of every entity mention, left to right."""
-    for found in _FIND.finditer(text):
+    for found in _found(text):
         kind, start, end = found.lastgroup, found.start(), found.end()
         word = found[0]
         gender = ""
