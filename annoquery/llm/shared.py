@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share (``spark.checkpoint.dir``).
 
+    Batches of texts sent to Python are made small where their size is the default, so that a task holds little.
     Only where that setting is absent, as in tests on one machine, a temporary folder is made and set.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "2000")
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="spark-annoquery-")
@@ -180,6 +185,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.5)  # the files go in the background
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # 2**64 divided by the golden ratio, an odd number that mixes well
@@ -195,7 +201,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) -> unsigned 64-bit hash, kept for the most recent words up to a bound."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
