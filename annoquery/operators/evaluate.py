@@ -107,3 +107,65 @@ def latency_summary(rows: DataFrame, by: str) -> DataFrame:
         F.count("*").alias("n"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.median("ms"), 6).alias("median_ms"),
         F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.round(1000 / F.avg("ms"), 6).alias("per_second"),
     )
+
+
+def composite_conflicts(boxes: DataFrame, whole: str, upper: str, lowers: list[str], least_union: float = 0.8, least_cover: float = 0.8, margin: float = 0.0) -> DataFrame:
+    """Boxes of class ``whole`` that an upper and a lower piece of the same image explain better; the best such pair for each.
+
+    boxes: image_id, pred_id, category, score and corners. Equal pairs go by the smaller ids. The pieces must lie in the whole
+    box, the upper one with the higher centre, and their common box must match it; their mean score must reach its score.
+    """
+    columns = ["pred_id", "score", "x0", "y0", "x1", "y1"]
+    side = lambda p, names: boxes.where(F.col("category").isin(names)).select("image_id", *[F.col(c).alias(f"{p}{c}") for c in columns])
+    pairs = side("d_", [whole]).join(side("t_", [upper]), "image_id").where(box.coverage("t_", "d_") >= least_cover)
+    pairs = pairs.join(side("l_", lowers), "image_id").where((box.coverage("l_", "d_") >= least_cover) & (F.col("t_y0") + F.col("t_y1") < F.col("l_y0") + F.col("l_y1")))
+    common = [F.least(f"t_{c}", f"l_{c}").alias(f"u_{c}") for c in ("x0", "y0")] + [F.greatest(f"t_{c}", f"l_{c}").alias(f"u_{c}") for c in ("x1", "y1")]
+    scored = pairs.select("*", *common).withColumn("union_iou", F.round(box.iou("d_", "u_"), 9)).withColumn("gap", F.round((F.col("t_score") + F.col("l_score")) / 2 - F.col("d_score"), 9))
+    good = scored.where((F.col("union_iou") >= least_union) & (F.col("gap") >= margin))
+    best = F.max(F.struct("gap", "union_iou", (-F.col("t_pred_id")).alias("t"), (-F.col("l_pred_id")).alias("l"))).alias("b")
+    return good.groupBy(F.col("d_pred_id").alias("whole_id")).agg(best).select("whole_id", (-F.col("b.t")).alias("upper_id"), (-F.col("b.l")).alias("lower_id"), "b.gap", "b.union_iou")
+
+
+def primary_subject(boxes: DataFrame, width: float, height: float, least_score: float = 0.7, least_area: float = 0.005, center_bias: float = 0.5) -> DataFrame:
+    """The large, sure and central box of each image: the highest area * score / (1 + bias * distance of the centres in half frames)."""
+    clip = lambda c, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), c))
+    inside = boxes.where(F.col("score") >= least_score).select("image_id", "pred_id", "score", *[clip(F.col(c), width if c[0] == "x" else height).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    off = lambda k, size: ((F.col(f"{k}0") + F.col(f"{k}1")) / 2 - size / 2) / max(size / 2, 1.0)
+    ranked = inside.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")) & (box.area("") / (width * height) >= least_area))
+    rank = F.round(box.area("") * F.col("score") / (1 + center_bias * F.hypot(off("x", width), off("y", height))), 6)
+    best = F.max(F.struct(rank.alias("rank"), "score", (-F.col("pred_id")).alias("id"))).alias("b")
+    return ranked.groupBy("image_id").agg(best).select("image_id", (-F.col("b.id")).alias("pred_id"), "b.rank")
+
+
+def best_overlaps(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """Each annotation with the IoU of the prediction that overlaps it best, 0 if none does."""
+    best = iou_pairs(predictions, truth).groupBy(F.col("g_ann_id").alias("ann_id")).agg(F.max("iou").alias("best"))
+    return truth.join(best, "ann_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+
+
+def proposal_recall(overlaps: DataFrame, by: str) -> DataFrame:
+    """Recall at IoU 0.5 and 0.75 and mean best IoU, in percent per group."""
+    share = lambda x: percent(F.count_if(F.col("best") >= x), F.count("*"))
+    return overlaps.groupBy(by).agg(F.count("*").alias("targets"), share(0.5).alias("recall50"), share(0.75).alias("recall75"), F.round(100 * F.avg("best"), 6).alias("mean_best"))
+
+
+def contrast_sets(rows: DataFrame, by: str, scored: Column, passed: Column) -> DataFrame:
+    """A set passes if all its scored members do; null if none is scored."""
+    return rows.groupBy(by).agg(F.count_if(scored).alias("scored"), F.bool_and(F.when(scored, passed)).alias("passed"))
+
+
+def threshold_scan(patches: DataFrame, thresholds: list[float]) -> DataFrame:
+    """patches (query_id, prob, target): recall at IoU 0.5 and mean IoU of each threshold over the queries with both kinds of patches; ``best`` marks the chosen one."""
+    hit = [F.count_if((F.col("prob") >= t) & F.col("target")) / F.count_if((F.col("prob") >= t) | F.col("target")) for t in thresholds]
+    each = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), i.alias("iou")) for t, i in zip(thresholds, hit)])
+    queries = patches.groupBy("query_id").agg(each.alias("e"), F.bool_or("target").alias("some"), F.bool_and("target").alias("every")).where("some and not every")
+    table = queries.select(F.explode("e").alias("e")).groupBy("e.threshold").agg(F.count("*").alias("queries"), percent(F.count_if(F.col("e.iou") >= 0.5), F.count("*")).alias("recall50"), F.round(100 * F.avg("e.iou"), 6).alias("mean_iou"))
+    top = table.agg(F.max(F.struct("recall50", "mean_iou", "threshold")).alias("b")).select(F.col("b.threshold").alias("chosen"))
+    return table.join(F.broadcast(top), how="cross").select("threshold", "queries", "recall50", "mean_iou", (F.col("threshold") == F.col("chosen")).alias("best"))  # one row
+
+
+def top_patches(patches: DataFrame, fraction: float) -> DataFrame:
+    """The patches of highest probability of each query: a fraction of them, at least one; ties by patch."""
+    whole = Window.partitionBy("query_id")
+    ranked = patches.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("prob"), "patch"))).withColumn("size", F.count("*").over(whole))
+    return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.rint(F.col("size") * fraction))).select("query_id", "patch", "rank")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .etl import renumber
+
 
 def holdout_status(files: DataFrame, excluded: DataFrame) -> DataFrame:
     """files (path, sha): ``status`` candidate, excluded (by path or by the content of an excluded path) or duplicate (first path wins)."""
@@ -35,3 +37,26 @@ def quota_gaps(have: DataFrame, quota: DataFrame) -> DataFrame:
 def first_of_identity(rows: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
     """First row of each identity."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*identity).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """(key, rule) for each rule that a record breaks; a rule that is null counts as broken."""
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))
+    return rows.select(key, F.explode(broken).alias("rule"))
+
+
+def sheet_differences(plan: DataFrame, sheet: DataFrame, key: str, fixed: list[str]) -> DataFrame:
+    """How a filled-in sheet departs from its plan: (key, problem) with unknown, missing, repeated and changed fixed columns."""
+    same = F.struct(*fixed)
+    filled = sheet.groupBy(key).agg(F.count("*").alias("n"), F.min(same).alias("least"), F.max(same).alias("most"))
+    both = plan.select(key, same.alias("planned"), F.lit(True).alias("known")).join(filled, key, "full")
+    changed = F.col("known") & (~F.col("least").eqNullSafe(F.col("planned")) | ~F.col("most").eqNullSafe(F.col("planned"))) & F.col("n").isNotNull()
+    problems = {"unknown": F.col("known").isNull(), "missing": F.col("n").isNull(), "repeated": F.col("n") > 1, "changed": changed}
+    return both.select(key, F.explode(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in problems.items()]))).alias("problem"))
+
+
+def spread_slots(counts: DataFrame, axis: str, seed: str) -> DataFrame:
+    """counts (value, n): n rows a value with a slot number from 1 in a seeded order that mixes the values."""
+    rows = counts.where("n > 0").select("value", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("at"))
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.lit(axis), F.col("value").cast("string"), F.col("at").cast("string")), 256)
+    return renumber(rows.withColumn("digest", digest), ["digest", "value", "at"], "slot").select("slot", "value")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import box, text
-from ..operators import etl, evaluate, governance, masks, retrieval, sampling
+from ..operators import etl, evaluate, governance, grounding, masks, retrieval, sampling
 from ..sources import views
 from ..sources.views import SQL, annotations, predictions, table
 
@@ -247,3 +247,149 @@ def quota_supply(spark, sf_dir):
     have = annotations(spark, sf_dir).where("not iscrowd").groupBy(F.col("category").alias("value")).agg(F.countDistinct("image_id").alias("n"))
     quota = spark.createDataFrame([("PROMO", 5000), ("SMALL", 500), ("OTHER", 10)], "value string, required long")
     return governance.quota_gaps(have, quota)
+
+
+def _values(rows) -> str:
+    """Rows as SQL VALUES."""
+    cell = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+#: Views for the records that name regions: every line is a part, lines numbered 1 are the garments.
+_PARTS = f"""WITH {SQL}, v_names AS (SELECT * FROM (VALUES {_values((i, en, zh) for i, (en, zh, _) in enumerate(grounding.PARTS))}) t(i, label, label_zh)),
+    v_garments AS (SELECT image_id, CASE category WHEN 'MEDIUM' THEN 'top' WHEN 'STANDARD' THEN 'dress' WHEN 'LARGE' THEN 'outerwear' END AS garment,
+      CASE category WHEN 'MEDIUM' THEN '上衣' WHEN 'STANDARD' THEN '连衣裙' WHEN 'LARGE' THEN '外套' END AS garment_zh FROM v_ann WHERE line = 1),
+    v_parts AS (SELECT a.image_id, ann_id, label, label_zh, garment, garment_zh FROM v_ann a JOIN v_names ON i = ann_id % 19 LEFT JOIN v_garments g ON g.image_id = a.image_id WHERE line <> 1),
+    v_plain AS (SELECT image_id, label, label_zh, NULL AS garment, NULL AS garment_zh, count(*) AS n, array_to_string(list_sort(list(ann_id)), '-') AS ids FROM v_parts GROUP BY 1, 2, 3),
+    v_related AS (SELECT image_id, label, label_zh, garment, garment_zh, count(*) AS n, array_to_string(list_sort(list(ann_id)), '-') AS ids FROM v_parts WHERE garment IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+    v_groups AS (SELECT * FROM v_plain UNION ALL SELECT * FROM v_related),
+    v_named AS (SELECT *, CASE WHEN n = 1 THEN label_zh ELSE '所有' || label_zh END AS zh, CASE WHEN n = 1 THEN 'the ' || label ELSE 'all ' || label || 's' END AS en, coalesce('relation-' || garment, 'basic') AS template FROM v_groups),
+    v_both AS (SELECT *, unnest(['zh', 'en']) AS language FROM v_named),
+    v_records AS (SELECT image_id || '-' || label || '-' || template || '-' || language || '-' || ids AS sample_id, image_id, label, language, n,
+      CASE WHEN language = 'zh' THEN coalesce('这件' || garment_zh || '上的', '这件衣服的') || zh ELSE en || ' on the ' || CASE WHEN garment IS NULL THEN 'garment' WHEN garment = 'top' THEN 'top garment' ELSE garment END END AS query FROM v_both)"""
+_GARMENTS = {"MEDIUM": ("top", "上衣"), "STANDARD": ("dress", "连衣裙"), "LARGE": ("outerwear", "外套")}
+
+
+def _records(spark, sf_dir):
+    rows = annotations(spark, sf_dir)
+    pick = lambda i, names: F.try_element_at(F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v[i])]), F.col("category"))
+    garments = rows.where("line = 1").select("image_id", pick(0, _GARMENTS).alias("garment"), pick(1, _GARMENTS).alias("garment_zh"))
+    name = lambda i: F.element_at(F.array(*[F.lit(p[i]) for p in grounding.PARTS]), (F.col("ann_id") % 19 + 1).cast("int"))
+    parts = rows.where("line <> 1").select("image_id", "ann_id", name(0).alias("label"), name(1).alias("label_zh"))
+    return grounding.expressions(parts.join(garments, "image_id", "left"))
+
+
+@query(_PARTS + " SELECT sample_id, image_id, label, language, query, n FROM v_records")
+def grounding_records(spark, sf_dir):
+    return _records(spark, sf_dir)
+
+
+_TERMS = ", ".join(f"({i}, {p}, '{label}', '{term}')" for i, (label, _, term, p) in enumerate(grounding.TERMS))
+
+
+@query(
+    _PARTS
+    + f""", t AS (SELECT * FROM (VALUES {_TERMS}) t(i, priority, region, term)), q AS (SELECT DISTINCT query FROM v_records),
+    b AS (SELECT query, arg_max({{'region': region, 'term': term}}, (length(term), priority, -i)) AS best FROM q JOIN t ON contains(lower(query), term) GROUP BY 1)
+    SELECT query, coalesce(best.region, 'custom') AS region, coalesce(best.term, query) AS term FROM q LEFT JOIN b USING (query)"""
+)
+def resolved_prompts(spark, sf_dir):
+    found = _records(spark, sf_dir).select("query").distinct().withColumn("p", grounding.resolve_prompt("query"))
+    return found.select("query", F.col("p.label").alias("region"), F.col("p.term").alias("term"))
+
+
+@query(
+    "SELECT role, count(*) AS turns, count_if(regexp_matches(text, '[()（）\\[\\]]')) AS brackets, count_if(regexp_matches(text, '[?？]')) AS questions, "
+    "count_if(regexp_matches(text, '[\"“”「」]')) AS quotes FROM conversations GROUP BY 1"
+)
+def unclean_turns(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("r", grounding.unclean_reasons("text"))
+    broken = lambda name: F.count_if(F.array_contains("r", name))
+    return rows.groupBy("role").agg(F.count("*").alias("turns"), broken("brackets").alias("brackets"), broken("question").alias("questions"), broken("quotes").alias("quotes"))
+
+
+@query(
+    f"""WITH {SQL}, d AS (SELECT * FROM v_pred WHERE category = 'STANDARD'), t AS (SELECT * FROM v_pred WHERE category = 'MEDIUM'), l AS (SELECT * FROM v_pred WHERE category IN ('SMALL', 'LARGE')),
+    p AS (SELECT d.*, t.pred_id AS t_id, l.pred_id AS l_id, least(t.x0, l.x0) AS ux0, least(t.y0, l.y0) AS uy0, greatest(t.x1, l.x1) AS ux1, greatest(t.y1, l.y1) AS uy1, round((t.score + l.score) / 2 - d.score, 9) AS gap
+      FROM d JOIN t ON t.image_id = d.image_id AND greatest(0, least(t.x1, d.x1) - greatest(t.x0, d.x0)) * greatest(0, least(t.y1, d.y1) - greatest(t.y0, d.y0)) >= 0.1 * ((t.x1 - t.x0) * (t.y1 - t.y0))
+      JOIN l ON l.image_id = d.image_id AND greatest(0, least(l.x1, d.x1) - greatest(l.x0, d.x0)) * greatest(0, least(l.y1, d.y1) - greatest(l.y0, d.y0)) >= 0.1 * ((l.x1 - l.x0) * (l.y1 - l.y0))
+      WHERE t.y0 + t.y1 < l.y0 + l.y1),
+    i AS (SELECT *, greatest(0, least(x1, ux1) - greatest(x0, ux0)) * greatest(0, least(y1, uy1) - greatest(y0, uy0)) AS c FROM p),
+    u AS (SELECT *, round(c / ((x1 - x0) * (y1 - y0) + (ux1 - ux0) * (uy1 - uy0) - c), 9) AS union_iou FROM i)
+    SELECT pred_id AS whole_id, t_id AS upper_id, l_id AS lower_id, gap, union_iou FROM (SELECT *, row_number() OVER (PARTITION BY pred_id ORDER BY gap DESC, union_iou DESC, t_id, l_id) AS rn FROM u WHERE union_iou >= 0.1 AND gap >= 0) WHERE rn = 1"""
+)
+def composite_conflicts(spark, sf_dir):
+    return evaluate.composite_conflicts(predictions(spark, sf_dir), "STANDARD", "MEDIUM", ["SMALL", "LARGE"], 0.1, 0.1)
+
+
+@query(
+    f"""WITH {SQL}, c AS (SELECT image_id, pred_id, score, greatest(0, least(200, x0)) AS x0, greatest(0, least(200, y0)) AS y0, greatest(0, least(200, x1)) AS x1, greatest(0, least(200, y1)) AS y1 FROM v_pred WHERE score >= 0.7),
+    r AS (SELECT image_id, pred_id, score, round((x1 - x0) * (y1 - y0) * score / (1 + 0.5 * sqrt(pow(((x0 + x1) / 2 - 100) / 100, 2) + pow(((y0 + y1) / 2 - 100) / 100, 2))), 6) AS rank
+      FROM c WHERE x1 > x0 AND y1 > y0 AND (x1 - x0) * (y1 - y0) / 40000 >= 0.005)
+    SELECT image_id, pred_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rank DESC, score DESC, pred_id) AS rn FROM r) WHERE rn = 1"""
+)
+def primary_subjects(spark, sf_dir):
+    return evaluate.primary_subject(predictions(spark, sf_dir), 200, 200)
+
+
+_BEST = _PAIRS + ", m AS (SELECT ann_id, max(iou) AS iou FROM v_pairs GROUP BY 1), b AS (SELECT a.*, coalesce(iou, 0) AS best FROM v_ann a LEFT JOIN m USING (ann_id))"
+
+
+@query(_BEST + " SELECT category, count(*) AS targets, round(100.0 * (count_if(best >= 0.5)::DOUBLE / count(*)), 6) AS recall50, round(100.0 * (count_if(best >= 0.75)::DOUBLE / count(*)), 6) AS recall75, round(100 * avg(best), 6) AS mean_best FROM b GROUP BY 1")
+def proposal_recall(spark, sf_dir):
+    return evaluate.proposal_recall(evaluate.best_overlaps(predictions(spark, sf_dir), annotations(spark, sf_dir)), "category")
+
+
+@query(_BEST + " SELECT image_id, count_if(NOT iscrowd) AS scored, bool_and(CASE WHEN NOT iscrowd THEN best >= 0.5 END) AS passed FROM b GROUP BY 1")
+def contrast_sets(spark, sf_dir):
+    best = evaluate.best_overlaps(predictions(spark, sf_dir), annotations(spark, sf_dir))
+    return evaluate.contrast_sets(best, "image_id", ~F.col("iscrowd"), F.col("best") >= 0.5)
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey AS query_id, round(l_discount * 10, 6) AS prob, l_tax >= 0.04 AS target FROM lineitem),
+    q AS (SELECT threshold, query_id, count_if(prob >= threshold AND target)::DOUBLE / count_if(prob >= threshold OR target) AS iou FROM t, (VALUES (0.2), (0.4), (0.5), (0.8)) g(threshold) GROUP BY 1, 2 HAVING bool_or(target) AND NOT bool_and(target)),
+    s AS (SELECT threshold::DOUBLE AS threshold, count(*) AS queries, round(100.0 * (count_if(iou >= 0.5)::DOUBLE / count(*)), 6) AS recall50, round(100 * avg(iou), 6) AS mean_iou FROM q GROUP BY 1)
+    SELECT *, row_number() OVER (ORDER BY recall50 DESC, mean_iou DESC, threshold DESC) = 1 AS best FROM s"""
+)
+def threshold_selection(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.round(F.col("l_discount") * 10, 6).alias("prob"), (F.col("l_tax") >= 0.04).alias("target"))
+    return evaluate.threshold_scan(rows, [0.2, 0.4, 0.5, 0.8])
+
+
+@query(
+    f"""WITH {SQL}, r AS (SELECT l_orderkey AS query_id, l_linenumber AS patch, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber) AS rank, count(*) OVER (PARTITION BY l_orderkey) AS size FROM v_lines)
+    SELECT query_id, patch, rank FROM r WHERE rank <= greatest(1, round_even(size * 0.25, 0))"""
+)
+def top_area_patches(spark, sf_dir):
+    return evaluate.top_patches(views.lines(spark, sf_dir).select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("patch"), F.col("l_discount").alias("prob")), 0.25)
+
+
+@query(
+    """WITH r AS (SELECT doc_id, unnest([CASE WHEN coalesce(NOT (trim(text) <> ''), TRUE) THEN 'text' END, CASE WHEN coalesce(length(text) <> n_chars, TRUE) THEN 'n_chars' END,
+    CASE WHEN coalesce(lang NOT IN ('en', 'de'), TRUE) THEN 'language' END, CASE WHEN coalesce(NOT regexp_full_match(source, '[a-z0-9][a-z0-9_-]*'), TRUE) THEN 'source' END]) AS rule FROM documents) SELECT * FROM r WHERE rule IS NOT NULL"""
+)
+def record_violations(spark, sf_dir):
+    rules = {"text": F.trim("text") != "", "n_chars": F.length("text") == F.col("n_chars"), "language": F.col("lang").isin("en", "de"), "source": F.col("source").rlike("^[a-z0-9][a-z0-9_-]*$")}
+    return governance.violations(table(spark, sf_dir, "documents"), "doc_id", rules)
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS id, count(*) AS n, min(l_linestatus) AS least, max(l_linestatus) AS most FROM lineitem GROUP BY 1),
+    b AS (SELECT coalesce(o_orderkey, id) AS id, o_orderkey, o_orderstatus, n, least, most FROM orders FULL JOIN s ON id = o_orderkey),
+    p AS (SELECT id, unnest([CASE WHEN o_orderkey IS NULL THEN 'unknown' END, CASE WHEN n IS NULL THEN 'missing' END, CASE WHEN n > 1 THEN 'repeated' END,
+      CASE WHEN o_orderkey IS NOT NULL AND n IS NOT NULL AND (least IS DISTINCT FROM o_orderstatus OR most IS DISTINCT FROM o_orderstatus) THEN 'changed' END]) AS problem FROM b) SELECT * FROM p WHERE problem IS NOT NULL"""
+)
+def sheet_differences(spark, sf_dir):
+    plan = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    sheet = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("status"))
+    return governance.sheet_differences(plan, sheet, "id", ["status"])
+
+
+@query(
+    """WITH c AS (SELECT source AS value, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT value, unnest(range(n)) AS pos FROM c)
+    SELECT row_number() OVER (ORDER BY sha256('slots-v1:source:' || value || ':' || pos), value, pos) AS slot, value FROM r"""
+)
+def quota_slots(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("value")).agg(F.count("*").alias("n"))
+    return governance.spread_slots(counts, "source", "slots-v1")
