@@ -168,4 +168,4 @@ def top_patches(patches: DataFrame, fraction: float) -> DataFrame:
     """The patches of highest probability of each query: a fraction of them, at least one; ties by patch."""
     whole = Window.partitionBy("query_id")
     ranked = patches.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("prob"), "patch"))).withColumn("size", F.count("*").over(whole))
-    return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.rint(F.col("size") * fraction))).select("query_id", "patch", "rank")
+    return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.rint(F.col("size") * fraction))).select("query_id", "patch", F.col("rank").cast("long").alias("rank"))

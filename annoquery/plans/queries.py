@@ -299,8 +299,8 @@ def resolved_prompts(spark, sf_dir):
 
 
 @query(
-    "SELECT role, count(*) AS turns, count_if(regexp_matches(text, '[()（）\\[\\]]')) AS brackets, count_if(regexp_matches(text, '[?？]')) AS questions, "
-    "count_if(regexp_matches(text, '[\"“”「」]')) AS quotes FROM conversations GROUP BY 1"
+    "SELECT role, count(*) AS turns, count(*) FILTER (regexp_matches(text, '[()（）\\[\\]]')) AS brackets, count(*) FILTER (regexp_matches(text, '[?？]')) AS questions, "
+    "count(*) FILTER (regexp_matches(text, '[\"“”「」]')) AS quotes FROM conversations GROUP BY 1"
 )
 def unclean_turns(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("r", grounding.unclean_reasons("text"))
@@ -340,7 +340,7 @@ def proposal_recall(spark, sf_dir):
     return evaluate.proposal_recall(evaluate.best_overlaps(predictions(spark, sf_dir), annotations(spark, sf_dir)), "category")
 
 
-@query(_BEST + " SELECT image_id, count_if(NOT iscrowd) AS scored, bool_and(CASE WHEN NOT iscrowd THEN best >= 0.5 END) AS passed FROM b GROUP BY 1")
+@query(_BEST + " SELECT image_id, count(*) FILTER (NOT iscrowd) AS scored, bool_and(CASE WHEN NOT iscrowd THEN best >= 0.5 END) AS passed FROM b GROUP BY 1")
 def contrast_sets(spark, sf_dir):
     best = evaluate.best_overlaps(predictions(spark, sf_dir), annotations(spark, sf_dir))
     return evaluate.contrast_sets(best, "image_id", ~F.col("iscrowd"), F.col("best") >= 0.5)
