@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import box, text
-from ..operators import etl, evaluate, governance, grounding, masks, retrieval, sampling
+from ..operators import etl, evaluate, governance, grounding, masks, reports, retrieval, sampling
 from ..sources import views
 from ..sources.views import SQL, annotations, predictions, table
 
@@ -393,3 +393,100 @@ def sheet_differences(spark, sf_dir):
 def quota_slots(spark, sf_dir):
     counts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("value")).agg(F.count("*").alias("n"))
     return governance.spread_slots(counts, "source", "slots-v1")
+
+
+_CASES = _PAIRS + """, cases AS (SELECT DISTINCT image_id AS case_id, CASE image_id % 5 WHEN 0 THEN 'negative' WHEN 1 THEN 'unlabelled' WHEN 2 THEN 'mask' ELSE 'box' END AS status,
+    CASE WHEN image_id % 3 > 0 THEN 1 + image_id % 4 END AS expected FROM v_ann),
+    t AS (SELECT image_id AS case_id, count(*) AS targets FROM v_ann WHERE NOT iscrowd GROUP BY 1), r AS (SELECT image_id AS case_id, count(*) AS regions FROM v_pred WHERE score >= 0.6 GROUP BY 1),
+    m AS (SELECT image_id AS case_id, count(DISTINCT ann_id) AS matched FROM v_pairs JOIN v_pred USING (image_id, pred_id) JOIN (SELECT ann_id FROM v_ann WHERE NOT iscrowd) USING (ann_id) WHERE iou >= 0.5 AND score >= 0.6 GROUP BY 1),
+    n AS (SELECT case_id, status, expected, coalesce(regions, 0) AS regions, status IN ('mask', 'box') AS positive,
+      CASE WHEN status IN ('mask', 'box') THEN coalesce(targets, 0) ELSE 0 END AS targets, CASE WHEN status IN ('mask', 'box') THEN coalesce(matched, 0) ELSE 0 END AS matched
+      FROM cases LEFT JOIN t USING (case_id) LEFT JOIN r USING (case_id) LEFT JOIN m USING (case_id)),
+    p AS (SELECT *, CASE WHEN expected IS NOT NULL THEN regions = expected END AS count_passed, CASE WHEN status = 'negative' THEN regions = 0 WHEN positive THEN matched = targets END AS recall_passed FROM n),
+    o AS (SELECT *, CASE WHEN positive THEN recall_passed AND coalesce(count_passed, true) ELSE recall_passed END AS query_passed FROM p)"""
+
+
+def _outcomes(spark, sf_dir):
+    truth, found = annotations(spark, sf_dir).where("not iscrowd"), predictions(spark, sf_dir).where("score >= 0.6")
+    matched = evaluate.iou_pairs(found, truth).where("iou >= 0.5").select(F.col("image_id").alias("case_id"), "g_ann_id").distinct()
+    case = F.col("image_id").alias("case_id")
+    status = F.when(F.expr("image_id % 5 = 0"), "negative").when(F.expr("image_id % 5 = 1"), "unlabelled").when(F.expr("image_id % 5 = 2"), "mask").otherwise("box")
+    cases = annotations(spark, sf_dir).select(case, status.alias("status"), F.when(F.expr("image_id % 3 > 0"), F.expr("1 + image_id % 4")).alias("expected")).distinct()
+    return reports.case_outcomes(cases, truth.select(case), found.select(case), matched)
+
+
+@query(_CASES + " SELECT case_id, status, expected, regions, targets, matched, count_passed, recall_passed, query_passed FROM o")
+def case_outcomes(spark, sf_dir):
+    return _outcomes(spark, sf_dir)
+
+
+@query(
+    _CASES
+    + """, a AS (SELECT *, 'overall' AS axis, 'all' AS value FROM o UNION ALL SELECT *, 'status', status FROM o UNION ALL SELECT *, 'dimension', unnest(CASE WHEN targets > 1 THEN ['counted', 'several'] ELSE ['counted'] END) FROM o WHERE expected IS NOT NULL)
+    SELECT axis, value, count(*) AS cases, count(*) FILTER (status <> 'unlabelled') AS scored, round(100.0 * ((count(*) FILTER (query_passed AND status <> 'unlabelled'))::DOUBLE / nullif(count(*) FILTER (status <> 'unlabelled'), 0)), 6) AS query_success,
+    round(100.0 * ((count(*) FILTER (recall_passed AND positive))::DOUBLE / nullif(count(*) FILTER (positive), 0)), 6) AS target_recall,
+    round(100.0 * ((count(*) FILTER (count_passed))::DOUBLE / nullif(count(expected), 0)), 6) AS count_success,
+    round(100.0 * ((count(*) FILTER (status = 'negative' AND regions > 0))::DOUBLE / nullif(count(*) FILTER (status = 'negative'), 0)), 6) AS false_positives,
+    round(100.0 * ((count(*) FILTER (regions = 0))::DOUBLE / count(*)), 6) AS empty,
+    round(100.0 * (sum(matched)::DOUBLE / nullif(sum(CASE WHEN positive THEN regions ELSE 0 END), 0)), 6) AS precision, round(100.0 * (sum(matched)::DOUBLE / nullif(sum(targets), 0)), 6) AS recall FROM a GROUP BY 1, 2"""
+)
+def case_report(spark, sf_dir):
+    several = F.when(F.col("targets") > 1, F.array(F.lit("counted"), F.lit("several"))).otherwise(F.array(F.lit("counted")))
+    return reports.case_report(_outcomes(spark, sf_dir), {"status": F.array("status"), "dimension": F.when(F.col("expected").isNotNull(), several)})
+
+
+_FIRST = f"""WITH {SQL}, t AS (SELECT * FROM v_ann WHERE line <= 2), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pred_id) AS rn FROM v_pred) WHERE rn = 1),
+    px AS (SELECT DISTINCT image_id, x, unnest(generate_series(y0::INT, y1::INT - 1)) AS y FROM (SELECT image_id, y0, y1, unnest(generate_series(x0::INT, x1::INT - 1)) AS x FROM t)),
+    u AS (SELECT image_id, count(*) AS area, count(*) FILTER (x >= x0 AND x < x1 AND y >= y0 AND y < y1) AS common, any_value((x1 - x0) * (y1 - y0)) AS own FROM px LEFT JOIN top USING (image_id) GROUP BY 1),
+    o AS (SELECT image_id, n.targets, coalesce(r.regions, 0) AS regions, coalesce(round(common / (area + own - common), 9), 0.0) AS iou, coalesce(round(common / (area + own - common), 9), 0.0) > 0.5 AS passed
+      FROM (SELECT image_id, count(*) AS targets FROM t GROUP BY 1) n LEFT JOIN u USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS regions FROM v_pred GROUP BY 1) r USING (image_id))"""
+
+
+@query(_FIRST + " SELECT image_id, targets, regions, iou, passed FROM o")
+def first_region_outcomes(spark, sf_dir):
+    return reports.first_region_outcomes(annotations(spark, sf_dir).where("line <= 2"), predictions(spark, sf_dir))
+
+
+@query(
+    _FIRST
+    + """, a AS (SELECT *, 'overall' AS axis, 'all' AS value FROM o UNION ALL SELECT *, 'cardinality', CASE WHEN targets > 1 THEN 'several' ELSE 'one' END FROM o UNION ALL SELECT *, 'novelty', (image_id % 2)::VARCHAR FROM o)
+    SELECT axis, value, count(*) AS cases, count(*) FILTER (passed) AS passed, round(100.0 * ((count(*) FILTER (passed))::DOUBLE / count(*)), 6) AS accuracy, round(100 * avg(iou), 6) AS mean_iou FROM a GROUP BY 1, 2"""
+)
+def acceptance_report(spark, sf_dir):
+    rows = reports.first_region_outcomes(annotations(spark, sf_dir).where("line <= 2"), predictions(spark, sf_dir))
+    return reports.acceptance_report(rows, {"cardinality": F.array(F.when(F.col("targets") > 1, "several").otherwise("one")), "novelty": F.array(F.expr("image_id % 2"))})
+
+
+@query(
+    f"""WITH {SQL}, b AS (SELECT v AS variant, a.area AS target_area, a.x0 AS gx0, a.y0 AS gy0, a.x1 AS gx1, a.y1 AS gy1, p.x0 - v * (p.x1 - p.x0) AS px0, p.y0 - v * (p.y1 - p.y0) AS py0, p.x1 + v * (p.x1 - p.x0) AS px1, p.y1 + v * (p.y1 - p.y0) AS py1
+      FROM v_ann a JOIN v_pred p ON a.ann_id = p.pred_id, (VALUES (0.0::DOUBLE), (0.125::DOUBLE), (0.25::DOUBLE)) t(v)),
+    s AS (SELECT *, greatest(0, least(px1, gx1) - greatest(px0, gx0)) * greatest(0, least(py1, gy1) - greatest(py0, gy0)) AS i, (px1 - px0) * (py1 - py0) AS predicted_area FROM b),
+    q AS (SELECT *, round(i / (predicted_area + (gx1 - gx0) * (gy1 - gy0) - i), 9) AS iou FROM s)
+    SELECT variant, count(*) AS queries, count(*) FILTER (iou >= 0.5) AS recall50_count, round(100.0 * ((count(*) FILTER (iou >= 0.5))::DOUBLE / count(*)), 6) AS recall50, round(100.0 * ((count(*) FILTER (iou >= 0.75))::DOUBLE / count(*)), 6) AS recall75,
+    round(avg(iou), 6) AS mean_iou, round(median(predicted_area / target_area), 6) AS median_area_ratio FROM q GROUP BY 1"""
+)
+def box_growth_sweep(spark, sf_dir):
+    """Predicted boxes, grown by a share of their size on each side, against their own annotations."""
+    truth = annotations(spark, sf_dir).select("ann_id", F.col("area").alias("target_area"), *[F.col(c).alias(f"g_{c}") for c in ("x0", "y0", "x1", "y1")])
+    pairs = predictions(spark, sf_dir).withColumnRenamed("pred_id", "ann_id").join(truth, "ann_id").withColumn("variant", F.explode(F.array(F.lit(0.0), F.lit(0.125), F.lit(0.25))))
+    grow = lambda c, sign: (F.col(c) + sign * F.col("variant") * (F.col(f"{c[0]}1") - F.col(f"{c[0]}0"))).alias(f"p_{c}")
+    grown = pairs.select("variant", "target_area", "g_x0", "g_y0", "g_x1", "g_y1", grow("x0", -1), grow("y0", -1), grow("x1", 1), grow("y1", 1))
+    return reports.variant_scores(grown.withColumn("iou", F.round(box.iou("p_", "g_"), 9)).withColumn("predicted_area", F.expr("(p_x1 - p_x0) * (p_y1 - p_y0)")))
+
+
+@query(_PAIRS + ", b AS (SELECT category, coalesce(max(iou), 0) AS best FROM v_ann LEFT JOIN v_pairs USING (ann_id, category) GROUP BY category, v_ann.ann_id), c AS (SELECT category, 100.0 * (count(*) FILTER (best >= 0.5))::DOUBLE / count(*) AS recall FROM b GROUP BY 1) SELECT count(*) AS classes, round(avg(recall), 6) AS macro_recall, avg(recall) >= 92 AS accepted FROM c")
+def macro_recall(spark, sf_dir):
+    return reports.macro_recall(evaluate.best_overlaps(predictions(spark, sf_dir), annotations(spark, sf_dir)), "category")
+
+
+@query(
+    f"""WITH {SQL}, c AS (SELECT * FROM (SELECT image_id, greatest(0, x0) AS x0, greatest(0, y0) AS y0, least(200, x1) AS x1, least(200, y1) AS y1, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pred_id) AS rank FROM v_pred) JOIN (VALUES (1), (3)) t(k) ON rank <= k WHERE x1 > x0 AND y1 > y0),
+    px AS (SELECT DISTINCT image_id, k, x, unnest(generate_series(y0::INT, y1::INT - 1)) AS y FROM (SELECT image_id, k, y0, y1, unnest(generate_series(x0::INT, x1::INT - 1)) AS x FROM c)),
+    a AS (SELECT image_id, k, any_value(g.area) AS target, count(*) AS area, count(*) FILTER (x >= g.x0 AND x < g.x1 AND y >= g.y0 AND y < g.y1) AS common FROM px JOIN (SELECT * FROM v_ann WHERE line = 1) g USING (image_id) GROUP BY 1, 2),
+    o AS (SELECT k, round(common / target, 9) AS coverage, round(area / 40000, 9) AS crop_area FROM a)
+    SELECT k, count(*) AS targets, round(100.0 * ((count(*) FILTER (coverage >= 0.5))::DOUBLE / count(*)), 6) AS c50, round(100.0 * ((count(*) FILTER (coverage >= 0.9))::DOUBLE / count(*)), 6) AS c90, round(100 * avg(crop_area), 6) AS mean_crop_area FROM o GROUP BY 1"""
+)
+def crop_coverage(spark, sf_dir):
+    clipped = [F.greatest(F.lit(0.0), c).alias(c) for c in ("x0", "y0")] + [F.least(F.lit(200.0), c).alias(c) for c in ("x1", "y1")]
+    crops = evaluate.top_k(predictions(spark, sf_dir), 3, ("image_id",)).select("image_id", "rank", *clipped).where("x1 > x0 and y1 > y0")
+    return reports.coverage_summary(reports.crop_coverage(annotations(spark, sf_dir).where("line = 1"), crops, [1, 3], 200 * 200))
