@@ -7,7 +7,9 @@ their title tells and of their script. An entity is the same wherever it occurs
 stay coreferent.
 
 Collision check: a surrogate that another entity also has, or that is itself an entity of the corpus, is drawn again with
-the next attempt number, until all differ. Distinct entities are counted and compared by shuffles; texts are rewritten in one
+the next attempt number, until all differ. From attempt 3 on a surrogate grows by one drawn letter or digit an attempt (an
+IP address first leaves its digit counts, then its version), so short values don't run out of surrogates. A value of marks only has no shape to keep: its
+marks become drawn letters and digits, inside its quotes or brackets. Distinct entities are counted and compared by shuffles; texts are rewritten in one
 narrow pass with the few entities that needed more than one attempt (broadcast while few, else joined by document).
 
 Null texts stay null; empty texts stay empty; tables without rows give none; repeated rows are rewritten alike.
@@ -84,8 +86,19 @@ def _script(char: str) -> str:
     return "cyrillic" if 0x400 <= code <= 0x52F else "greek" if 0x370 <= code <= 0x3FF else "latin"
 
 
-def _alike(text: str, stream: _Stream) -> str:
-    """Each letter becomes one of its case and script, each digit a digit; a leading non-zero digit stays non-zero."""
+DIGITS = "0123456789"
+_MIXED = "abcdefghijklmnopqrstuvwxyz" + DIGITS
+_PAIRS = {'""', "''", "``", "()", "[]", "{}", "<>"}
+
+
+def _alike(text: str, stream: _Stream, extra: int = 0, more: str = _MIXED) -> str:
+    """Each letter becomes one of its case and script, each digit a digit; a leading non-zero digit stays non-zero.
+
+    ``extra`` characters drawn from ``more`` follow the last letter or digit. Text of marks only is drawn whole.
+    """
+    if text and not any(c.isalpha() or c.isdigit() for c in text):
+        left, right = (text[0], text[-1]) if text[0] + text[-1] in _PAIRS and len(text) > 1 else ("", "")
+        return left + "".join(more[stream.below(len(more))] for _ in range(max(8, len(text)) + extra)) + right
     out = []
     for i, c in enumerate(text):
         if c.isdigit():
@@ -97,6 +110,9 @@ def _alike(text: str, stream: _Stream) -> str:
             out.append(new.upper() if c.isupper() else new)
         else:
             out.append(c)
+    if extra:
+        end = 1 + max((i for i, c in enumerate(text) if c.isalpha() or c.isdigit()), default=-1)
+        out[end:end] = [more[stream.below(len(more))] for _ in range(extra)]
     return "".join(out)
 
 
@@ -111,29 +127,36 @@ def _luhn(digits: str) -> int:
 def surrogate(kind: str, entity: str, gender: str, key: bytes, attempt: int = 0) -> str:
     """Canonical replacement of a canonical entity."""
     stream = _Stream(key, kind, f"{gender}{entity}", attempt)
+    extra = max(0, attempt - 2)
     if kind == "email":
         name, _, domain = entity.partition("@")
         host, _, suffix = domain.rpartition(".")
-        return f"{_alike(name, stream)}@{_alike(host, stream)}.{suffix}"
+        return f"{_alike(name, stream, extra)}@{_alike(host, stream)}.{suffix}"
+    if kind == "ip" and extra > 8:
+        return "fd" + ":".join(f"{stream.below(256):02x}" if i == 0 else f"{stream.below(65536):x}" for i in range(8))
+    if kind == "ip" and extra:
+        return ".".join(str(1 + stream.below(254)) for _ in range(4))
     if kind == "ip":
         return ".".join(str(1 + stream.below(9 if len(p) == 1 else 254)) if len(p) < 2 else str((10 + stream.below(90)) if len(p) == 2 else 100 + stream.below(156)) for p in entity.split("."))
     if kind == "card":
-        body = entity[0] + _alike(entity[1:-1], stream)
+        body = entity[0] + _alike(entity[1:-1], stream, extra, DIGITS)
         if _luhn(entity) == 0:
             return body + str((10 - _luhn(body + "0")) % 10)
         return body + str(stream.below(10))
     if kind == "key":
         mark = re.match(r"AKIA|ASIA|gh[pousr]_|sk-", entity)[0]
-        return mark + _alike(entity[len(mark) :], stream)
+        return mark + _alike(entity[len(mark) :], stream, extra, _MIXED.upper() if entity.isupper() else _MIXED)
     if kind == "person":
         names = GIVEN[gender if gender in ("m", "f") else "mf"[stream.below(2)], _script(entity[0])]
         given = names[stream.below(len(names))]
         parts = entity.split(" ")
-        last = _alike("x" * (6 + stream.below(3)) if _script(entity[0]) == "latin" else parts[-1].lower(), stream).capitalize()
+        first, n = SCRIPTS[_script(entity[0])]
+        letters = "".join(chr(ord(first) + i) for i in range(n))
+        last = _alike("x" * (6 + stream.below(3)) if _script(entity[0]) == "latin" else parts[-1].lower(), stream, extra, letters).capitalize()
         return f"{given} {last}" if len(parts) > 1 else last
     if kind == "phone":
-        return entity[:1] + _alike(entity[1:], stream)
-    return _alike(entity, stream)
+        return entity[:1] + _alike(entity[1:], stream, extra, DIGITS)
+    return _alike(entity, stream, extra, DIGITS if kind == "national" else _MIXED)
 
 
 def _found(text: str):
@@ -166,10 +189,10 @@ def mentions(text: str):
 
 
 def _fit(kind: str, old: str, new: str) -> str:
-    """The canonical surrogate in the shape of a mention: digits go to the places of digits, case follows."""
+    """The canonical surrogate in the shape of a mention: digits go to the places of digits, more digits to the end, case follows."""
     if kind in ("phone", "card", "national"):
         digits = iter(new)
-        return "".join(next(digits, "0") if c.isdigit() else c for c in old)
+        return "".join(next(digits, "0") if c.isdigit() else c for c in old) + "".join(digits)
     if kind == "email" and old != old.lower():
         return "".join(n.upper() if o.isupper() else n for o, n in zip(old, new)) if len(old) == len(new) else new
     return new

@@ -145,6 +145,25 @@ def test_pii_surrogates_differ(spark):
     assert name.split()[0] in pii.GIVEN["f", "latin"]
 
 
+def test_pii_values_without_free_shape(spark):
+    values = ["****", "{}", '""', "!?%", *map(str, range(1, 10)), *map(str, range(10))]
+    texts = [f"token: {v} end" for v in values] + ["Herr Ян", "call +1 20 20"] + [f"from 1.1.1.{i} on" for i in range(1, 10)]
+    found = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    new = {texts[r["doc_id"]]: r["text"] for r in found}
+    assert len(found) == len(texts) and all(r["n_entities"] == 1 for r in found)
+    secrets = {v: new[f"token: {v} end"].removeprefix("token: ").removesuffix(" end") for v in values}
+    assert len(set(secrets.values())) == len(secrets) and not set(secrets.values()) & set(values)
+    assert secrets["{}"][0] + secrets["{}"][-1] == "{}" and secrets['""'][0] + secrets['""'][-1] == '""' and secrets["!?%"].isalnum()
+
+
+def test_pii_surrogates_grow():
+    drawn = lambda kind, entity, n: {pii.surrogate(kind, entity, "m", b"k", a) for a in range(n)}
+    for kind, entity in [("password", "1"), ("phone", "12020"), ("national", "123456789"), ("email", "a@b.com"), ("ip", "1.1.1.1"), ("person", "Ян"), ("card", "4000000000006"), ("key", "sk-" + "1" * 20)]:
+        assert len(drawn(kind, entity, 40)) > 30
+    assert all(pii._luhn(c) == 0 for c in drawn("card", "4000000000006", 20))
+    assert pii._fit("phone", "+1 20 20", "1202045") == "+1 20 2045"
+
+
 def test_language(docs, empty):
     found = langid.identify(langid.document_items(docs)).collect()
     assert sum(not r["kept"] for r in found) >= 3 and len(found) == docs.count()
