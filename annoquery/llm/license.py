@@ -1,6 +1,8 @@
 """License scan by an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line; its set is its distinct words. It meets a template if it holds at least ``threshold`` of the
+A block is a line, or, for text that goes on over line ends, a window of words: windows are three times as long as the
+longest template and start at every half of their length, so each run of 1.5 times that template's length lies in one, whatever
+lines it has. A block's set is its distinct words. It meets a template if it holds at least ``threshold`` of the
 template's distinct words. With template words ordered by their frequency over all documents, rarest first, such a
 block must hold one of the template's first ``size - need + 1`` words (*prefix filter*), have at least ``need`` words
 (*length filter*), and the template must still have enough words from the first one they share (*positional filter*). 
@@ -88,8 +90,17 @@ def template_matches(docs: DataFrame, templates=None, threshold: float = 0.8) ->
     index = docs.sparkSession.createDataFrame(rows, "word string, template int, label string, need int, size int, p int, words array<string>")
     prefix = F.array(*map(F.lit, sorted({r[0] for r in rows})))
     least = min(r[3] for r in rows)
-    blocks = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
-    blocks = blocks.select("doc_id", "text_hash", "block", F.array_distinct(F.split(spaced_words("line"), " ")).alias("own"))
+    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
+    lines = lines.select("doc_id", "text_hash", "block", F.array_distinct(F.split(spaced_words("line"), " ")).alias("own"))
+    # windows over line ends, of the documents that hold enough listed words at all
+    step = math.ceil(1.5 * max(len(t.split()) for t, _ in templates))
+    listed = F.array(*map(F.lit, sorted({w for t, _ in templates for w in t.split()})))
+    whole = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", "text_hash", F.split(spaced_words("text"), " ").alias("words"))
+    whole = whole.where(F.arrays_overlap("words", prefix) & (F.size(F.array_intersect("words", listed)) >= least))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - step - 1) / step).cast("int")))
+    windows = whole.select("doc_id", "text_hash", F.posexplode(F.transform(starts, lambda i: F.slice("words", i * step + 1, 2 * step))).alias("block", "window"))
+    windows = windows.select("doc_id", "text_hash", (-1 - F.col("block")).alias("block"), F.array_distinct("window").alias("own"))
+    blocks = lines.unionAll(windows)
     blocks = blocks.where((F.size("own") >= least) & F.arrays_overlap("own", prefix))
     seeds = blocks.select("doc_id", "text_hash", "block", "own", F.explode(F.array_intersect("own", prefix)).alias("word"))
     pairs = seeds.join(F.broadcast(index), "word").where((F.size("own") >= F.col("need")) & (F.col("size") - F.col("p") >= F.col("need")))

@@ -129,6 +129,20 @@ def test_license(docs, empty):
     assert license.scan_licenses(empty).count() == 0
 
 
+def test_license_over_line_ends(spark):
+    bsd = next(t for t, label in license.TEMPLATES if label == "bsd").split()
+    filler = [f"w{i}" for i in range(100)]
+    texts, wanted = ["no " * 40 + "\n" + "license here"], [""]
+    for before in (0, 7, 20, 23, 30, 47, 55, 90):  # at many places of a window, wrapped as headers are, and a word a line
+        for marked in (" ".join(bsd[:10]) + "\n * " + " ".join(bsd[10:]), " \n# ".join(bsd), "\r\n\r\n".join([" ".join(bsd[:5]), " ".join(bsd[5:9]), " ".join(bsd[9:])])):
+            for after in (0, 60):
+                texts.append("\n".join([" ".join(filler[:before]), marked, " ".join(filler[:after])]))
+                wanted.append("bsd")
+    found = license.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in found} == dict(enumerate(wanted))
+    assert all(r["score"] == 1.0 for r in found if r["labels"]) and all(r["base_labels"] == "" for r in found)
+
+
 def test_pii(docs, empty):
     found = {r["doc_id"]: r for r in pii.replace_entities(docs).collect()}
     changed = [r for r in found.values() if r["n_entities"]]
