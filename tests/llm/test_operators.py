@@ -209,6 +209,31 @@ def test_leaks(spark, docs, empty, rows):
     assert decontaminate.find_leaks(empty, bench).count() == 0
 
 
+def test_leaks_equal_brute_force(spark):
+    draw = random.Random(11)
+    words = ["".join(draw.choices("abcdefghiklmnorst", k=draw.randint(2, 8))) for _ in range(1500)]
+    make = lambda n: [words[min(int(draw.paretovariate(0.6)) - 1, 1499)] for _ in range(n)]
+    items = [make(n) for n in (5, 6, 7, 8, 10, 12, 15, 17, 19, 25, 40, 70) for _ in range(2)]
+    sentences = [" ".join(w[: len(w) - 3]) + ". " + " ".join(w[len(w) - 3 :]) + "." for w in items]
+    docs = []
+    for w in items:
+        docs += [make(draw.randint(60, 300)) + [x if draw.random() > share else "changed" for x in w] + make(draw.randint(0, 300)) for share in (0, 0, 0.15, 0.35)]
+    wanted = set()
+    for d, text in enumerate(docs):
+        for i, w in enumerate(items):
+            for start in range(0, len(text), 16):
+                around = text[max(0, start - len(w)) : start + 32 + len(w)]
+                share, known = decontaminate.common_subsequence(w, around) / len(w), len(set(w[-3:]).intersection(around)) / len(set(w[-3:]))
+                if share >= 0.8 or share >= 0.55 and known >= 0.8:
+                    wanted.add((d, i))
+                    break
+    table = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(sentences)) + [(100, "too short"), (101, "")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(table, bench).collect()} == wanted
+    blocks = decontaminate.find_leaks(table, bench.where("item_id in (0, 1, 100, 101)"), item_block=2).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in blocks} == {x for x in wanted if x[1] < 2}
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     found = quality.score_quality(docs, labels).collect()
