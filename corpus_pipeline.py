@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can express neither the shingle join on whole tables in reasonable time nor tokenization; a brute-force test stands in.
+#: SQL can express neither the shingle join on whole tables in reasonable time nor tokenization. No test of the whole pipeline stands in yet.
 ORACLE_SQL = None
 
 
