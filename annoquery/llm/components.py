@@ -19,20 +19,20 @@ def _pull(edges: DataFrame, only_smaller: bool) -> DataFrame:
     return moved.union(least.select("u", F.col("least").alias("v"))) if only_smaller else moved
 
 
-def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest id reachable from each node that has an edge. ``edges`` has long columns u, v.
 
-    Every step writes its edges to the shared folder, so the lineage stays short; only two numbers come to the driver.
+    Steps go on until one leaves the edges as they are. Every step writes its edges to the shared folder, so the lineage stays short;
+    only two numbers come to the driver.
     """
-    spark = edges.sparkSession
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     now, seen = staged(edges, "edges"), None
-    for _ in range(most_steps):
+    while True:
         mark = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if mark == seen or not mark[0]:
             break
         seen, old = mark, now
         now = staged(_pull(_pull(now, False).where("u <> v").distinct(), True).where("u <> v").distinct(), "edges")
-        release(spark, old)
+        release(old)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

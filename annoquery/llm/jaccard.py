@@ -21,20 +21,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import in_groups, mixed, release, rolled, staged, word_hashes
+from .shared import hashed_words, in_groups, mixed, rolled, staged, task
 
 COORDINATES = 64
 SETS = "doc_id long, d1 long, d2 long, signature binary"
 
 
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``width`` words."""
-    hashes = word_hashes().of((text or "").encode("utf-8", "surrogatepass").split())
-    return np.unique(rolled(hashes, min(width, len(hashes)), 5)) if len(hashes) else np.zeros(0, np.uint64)
+def shingle_sets_of(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+    """For each text, the sorted distinct hashes of its runs of ``width`` words."""
+    hashes, edges = hashed_words(texts, plain=False)
+    words = np.split(hashes, edges[1:-1])
+    return [np.unique(rolled(w, min(width, len(w)), 5)) if len(w) else np.zeros(0, np.uint64) for w in words] if texts else []
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -50,15 +51,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """Signature and 128-bit digest of each document's shingle set; null without words or doc_id."""
 
+    @task
     def make(batches):
         import xxhash
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_groups(texts):
+            for a, b in in_groups(texts, 1 << 18):
                 rows = []
-                for key, text in zip(keys[a:b], texts[a:b]):
-                    own = shingle_set(text, width)
+                for key, own in zip(keys[a:b], shingle_sets_of(texts[a:b], width)):
                     if len(own) and key is not None:
                         digest = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
                         rows.append((key, int(digest[0]), int(digest[1]), signature(own).tobytes()))
@@ -168,7 +169,7 @@ def _look_alike(buckets: DataFrame, least: float) -> DataFrame:
 
 def candidate_edges(sets: DataFrame, threshold: float, recall: float, depth: int, small: int) -> DataFrame:
     """Edges (u, v) that connect all sets which share a final bucket of some run and look alike."""
-    spark, edges = sets.sparkSession, None
+    edges = None
     starts = sets.select("cid", "signature", F.explode(F.array(*[F.lit(r) for r in range(1, runs_for(recall, depth) + 1)])).alias("run"))
     nodes = _split(starts.select(F.xxhash64("run").alias("path"), "cid", "signature"), threshold)
     for level in range(1, depth + 1):
@@ -183,7 +184,6 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float, depth: int
         edges = found if edges is None else edges.union(found)
         if level < depth:
             nodes = _split(large, threshold)
-        release(spark)
     return edges
 
 
@@ -191,11 +191,12 @@ def _compare(texts: DataFrame, threshold: float, width: int) -> DataFrame:
     """(cid, links, root) for sets with links, from rows (cluster, i, j, block, cid, copies, text), one task for each (cluster, i, j)."""
     need = round(threshold * 1000)
 
+    @task
     def make(batches):
         for group in groups_of(batches, ["cluster", "i", "j"]):
             cids, copies, block = (group.column(c).to_numpy() for c in ("cid", "copies", "block"))
             n = len(cids)
-            sets = [shingle_set(t.as_py(), width) for t in group.column("text")]
+            sets = shingle_sets_of(group.column("text").to_pylist(), width)
             sizes = np.fromiter(map(len, sets), np.int64, n)
             _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
             row = np.repeat(np.arange(n), sizes)
@@ -231,13 +232,11 @@ def similarity_classes(
     ``class_id`` is the smallest doc_id connected by links (similarity of at least ``threshold``), ``n_links`` the number
     of other documents similar to this one, copies included, and ``n_copies`` the documents with the same set.
     """
-    spark: SparkSession = docs.sparkSession
     each = staged(shingle_sets(docs, width), "sets")
     sets = each.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.min("signature").alias("signature"))
     sets = staged(sets, "distinct-sets")
     clusters = components(candidate_edges(sets, threshold, recall, depth, small))
     clusters = staged(clusters.select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "clusters")
-    release(spark)
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster").join(sets.select("cid", "copies"), "cid")
     blocks = F.ceil(F.col("n") / block).cast("int")
     members = staged(sized.select("cluster", "cid", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks.cast("long")).cast("int").alias("block")), "members")
@@ -249,7 +248,6 @@ def similarity_classes(
     linked = staged(_compare(texts, threshold, width), "linked")
     links = linked.groupBy("cid").agg(F.sum("links").alias("links"))
     classes = components(linked.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cid")
-    release(spark)
     about = sets.select("d1", "d2", "cid", "copies").join(links, "cid", "left").join(classes, "cid", "left")
     about = about.select("d1", "d2", F.coalesce("component", "cid").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     have = each.select("doc_id", "d1", "d2").join(about, ["d1", "d2"])

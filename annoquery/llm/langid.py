@@ -6,6 +6,9 @@ one is learnt from all rows by grouped counts of text-only decisions. Host prior
 host counts towards their suffix's distribution, suffix counts towards the global one. Trigrams of a text depend
 on each other, so the text counts as at most ``effective`` independent ones.
 
+A language has a model if it is among the ``most_languages`` most declared values; rarer values count as what they say about these
+languages, as every declared value does, so tables stay bounded whatever the column holds.
+
 A row is rejected (``kept`` false) if it has no word characters, or if no language reaches ``least`` probability.
 Null or empty texts have no text evidence and are rejected; null declarations and hosts are the values '' of their own.
 An empty table gives no rows. Repeated rows are judged each.
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_groups, staged
+from .shared import in_groups, staged, task
 
 BUCKETS = 1 << 14
 SCORED = "id long, host string, declared string, suffix string, grams long, scores array<double>"
@@ -41,6 +44,7 @@ def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def train(items: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (bucket, language) from all items with a declared language."""
 
+    @task
     def count(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -55,7 +59,7 @@ def train(items: DataFrame) -> tuple[list[str], np.ndarray]:
             some = np.flatnonzero(counts[:BUCKETS])
             yield pa.RecordBatch.from_pydict({"language": [language] * len(some), "bucket": some.astype(np.int32), "n": counts[some]})
 
-    counted = items.where("declared <> ''").select("declared", "text").mapInArrow(count, "language string, bucket int, n long")
+    counted = items.where("said <> ''").select("said", "text").mapInArrow(count, "language string, bucket int, n long")
     rows = counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
     languages = sorted(rows["language"].unique())
     table = np.full((BUCKETS, len(languages)), 0.5)
@@ -69,6 +73,7 @@ def score(items: DataFrame, languages: list[str], table: np.ndarray, effective:
     """Text log-likelihoods of every item, scaled to at most ``effective`` trigrams; one narrow pass over the texts."""
     shared = items.sparkSession.sparkContext.broadcast(np.vstack([table, np.zeros((1, len(languages)))]))
 
+    @task
     def make(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -96,9 +101,12 @@ def _log_table(rows: DataFrame, key: str, parent: list[float], strength: float)
     return counts.select(key, *[((F.col(f"n{i}") + F.lit(strength * parent[i])) / (F.col("n") + F.lit(strength))).alias(f"{key}_{i}") for i in range(n)])
 
 
-def identify(items: DataFrame, effective: int = 60, least: float = 0.6, strength: float = 20.0, broadcast_rows: int = 100_000) -> DataFrame:
+def identify(items: DataFrame, effective: int = 60, least: float = 0.6, strength: float = 20.0, broadcast_rows: int = 100_000, most_languages: int = 64) -> DataFrame:
     """id, language, probability, text_language, declared, kept. ``items`` has id, text, declared, suffix, host."""
     items = items.select(F.col("id").cast("long").alias("id"), "text", *[F.coalesce(c, F.lit("")).alias(c) for c in ("declared", "suffix", "host")])
+    counted = items.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(most_languages)
+    known = [r["declared"] for r in counted.collect()]  # at most `most_languages` rows
+    items = items.withColumn("said", F.when(F.col("declared").isin(known) if known else F.lit(False), F.col("declared")).otherwise(""))
     languages, table = train(items)
     n = len(languages)
     out = "id long, language string, probability double, text_language string, declared string, kept boolean"

@@ -18,18 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_groups, staged, word_hashes
+from .shared import hashed_words, in_groups, staged, task
 
-WORDS, DIMS, BLOCKS = 1 << 13, 48, 32
+BITS, DIMS, BLOCKS = 14, 48, 32
+WORDS = 1 << BITS
 
 
-def _tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
-def _rows(text: str | None) -> np.ndarray:
-    """Hashed rows of a text's words; marks at a word's end choose another row, so they count."""
-    return (word_hashes().of(_tokens(text)) >> np.uint64(51)).astype(np.int64)
+def _rows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed rows of all words of texts, and each text's first place; marks at a word's end choose another row, so they count."""
+    hashes, edges = hashed_words(texts, plain=False)
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64), edges
 
 
 def _index_vectors() -> np.ndarray:
@@ -45,14 +43,14 @@ def word_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
     """Unit-length context vectors from all texts."""
     index = docs.sparkSession.sparkContext.broadcast(_index_vectors())
 
+    @task
     def count(batches):
         total = np.zeros((WORDS, DIMS), np.float64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in in_groups(texts):
-                own = [_rows(t) for t in texts[a:b]]
-                flat = np.concatenate(own) if own else np.zeros(0, np.int64)
-                text = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                flat, edges = _rows(texts[a:b])
+                text = np.repeat(np.arange(b - a), np.diff(edges))
                 for step in range(1, reach + 1):
                     if len(flat) <= step:
                         continue
@@ -60,10 +58,9 @@ def word_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
                     left, right = flat[:-step][near], flat[step:][near]
                     pair, times = np.unique(np.concatenate([left * WORDS + right, right * WORDS + left]), return_counts=True)
                     word = pair // WORDS
-                    edges = np.flatnonzero(np.diff(word, prepend=-1))
+                    first = np.flatnonzero(np.diff(word, prepend=-1))
                     if len(pair):
-                        sums = np.add.reduceat(index.value[pair % WORDS] * times[:, None].astype(np.float32), edges, axis=0)
-                        total[word[edges]] += sums
+                        total[word[first]] += np.add.reduceat(index.value[pair % WORDS] * times[:, None].astype(np.float32), first, axis=0)
         size = WORDS // BLOCKS
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([total[i * size : (i + 1) * size].astype(np.float32).tobytes() for i in range(BLOCKS)], pa.binary())], ["block", "sums"]
@@ -74,12 +71,16 @@ def word_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
         total = np.zeros((size, DIMS), np.float64)
         for sums in table.column("sums"):
             total += np.frombuffer(sums.as_py(), np.float32).reshape(size, DIMS)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    # tasks are summed in groups first, so that one block's sums never meet in one task in full
-    parts = docs.select("text").mapInArrow(count, "block int, sums binary").withColumn("group", F.pmod(F.spark_partition_id(), F.lit(16)))
-    parts = parts.groupBy("block", "group").applyInArrow(lambda k, t: add(k, t), "block int, sums binary")
-    rows = parts.groupBy("block").applyInArrow(add, "block int, sums binary").collect()  # BLOCKS rows of fixed size
+        keys = {c: pa.array([k.as_py()], pa.int32()) for c, k in zip(("block", "part"), key)}
+        return pa.table({**keys, "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    # sums of sums, 64 at a time, so that no task ever gets more than 64 of them however many tasks counted
+    parts = staged(docs.select("text").mapInArrow(count, "block int, sums binary").withColumn("part", F.spark_partition_id()), "sums")
+    most = parts.agg(F.max("part")).first()[0] or 0
+    while most >= 64:
+        grouped = parts.withColumn("part", F.floor(F.col("part") / 64).cast("int")).groupBy("block", "part")
+        parts, most = staged(grouped.applyInArrow(add, "block int, part int, sums binary"), "sums"), most // 64
+    rows = parts.withColumn("part", F.lit(0)).groupBy("block", "part").applyInArrow(add, "block int, part int, sums binary").collect()  # BLOCKS rows of fixed size
     out = np.zeros((WORDS, DIMS), np.float32)
     size = WORDS // BLOCKS
     for row in rows:
@@ -91,8 +92,9 @@ def word_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
 def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
     """Per text: mean and spread of its words' vectors, and how much neighbouring words' vectors agree."""
     out = np.zeros((len(texts), 2 * DIMS + 2), np.float32)
-    for i, text in enumerate(texts):
-        rows = _rows(text)
+    flat, edges = _rows(texts)
+    for i in range(len(texts)):
+        rows = flat[edges[i] : edges[i + 1]]
         if len(rows):
             total, squares = np.zeros(DIMS), np.zeros(DIMS)
             agree = 0.0
@@ -163,9 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most_rows: int
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
+    @task
     def features(batches):
         for batch in batches:
-            x = pooled(batch.column(0).to_pylist(), shared.value)
+            texts = batch.column(0).to_pylist()
+            x = np.concatenate([np.zeros((0, 2 * DIMS + 2), np.float32), *(pooled(texts[a:b], shared.value) for a, b in in_groups(texts))])
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), batch.column(1)], ["x", "quality"])
 
     few = F.broadcast(chosen)  # at most about `most_rows` pairs of numbers
@@ -184,6 +188,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
     network = fit(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), vectors, most_rows)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
+    @task
     def work(batches):
         vectors, network = shared.value
         for batch in batches:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,31 +18,64 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Batches of texts sent to Python are made small where their size is the default, so that a task holds little.
-    Only where that setting is absent, as in tests on one machine, a temporary folder is made and set.
+    Only on one machine, as in tests, and only where the setting is absent, a temporary folder is made and set.
     """
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows) == "10000":
-        spark.conf.set(rows, "2000")
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-annoquery-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+#: While a staged table is written: small batches of texts for Python, and shuffle files that go when the write has ended.
+WHILE_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the length of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/annoquery/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, WHILE_WRITING):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(table, rows: int = 4096):
-    """Arrow record batches of at most ``rows`` rows."""
-    yield from table.to_batches(max_chunksize=rows)
+def release(*tables: DataFrame) -> None:
+    """Empty staged tables that no later step reads, as they only take up disk."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(folder)
+
+
+def task(function):
+    """A function of Arrow batches after whose task the Python worker keeps no table of texts: workers serve many tasks and stages."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            for known in _ENCODERS.values():
+                known.clear()
+            pa.default_memory_pool().release_unused()
+
+    return run
 
 
 class _Slots(dict):
@@ -69,7 +104,7 @@ class TextEncoder:
 
     _LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -83,14 +118,14 @@ class TextEncoder:
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._clear()
+        self.clear()
 
-    def _clear(self):
+    def clear(self):
         self.slots = _Slots()
-        self.ids = np.zeros(1 << 20, np.uint32)
+        self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.zeros(self.most + (1 << 16), np.int64)
-        self.length = np.zeros(self.most + (1 << 16), np.int64)
+        self.start = np.zeros(1 << 16, np.int64)
+        self.length = np.zeros(1 << 16, np.int64)
 
     def _encode_queued(self):
         queued, self.slots.queued = self.slots.queued, []
@@ -137,7 +172,7 @@ class TextEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text; null and empty texts give empty arrays."""
         if self.slots.total > self.most:
-            self._clear()
+            self.clear()
         slot = self.slots.__getitem__
         words = [np.fromiter(map(slot, (text or "").encode("utf-8", "replace").split()), np.int64) for text in texts]
         self._encode_queued()
@@ -154,7 +189,7 @@ _ENCODERS: dict[str, TextEncoder] = {}
 
 
 def encoder(path: str) -> TextEncoder:
-    """This worker's encoder for a tokenizer file; tasks of one worker share its table."""
+    """This worker's encoder for a tokenizer file; ``task`` empties its table at the end of a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
@@ -172,22 +207,6 @@ def in_groups(values: list, most_chars: int = 1 << 20):
         yield start, len(values)
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Let go of what finished steps hold on disk: staged tables that no later step reads, and shuffle files.
-
-    Spark removes a shuffle's files once the driver no longer refers to it, which this asks for at once.
-    """
-    import gc
-
-    for df in tables:
-        for file in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.5)  # the files go in the background
-
-
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # 2**64 divided by the golden ratio, an odd number that mixes well
 
 
@@ -198,31 +217,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """Word (bytes) -> unsigned 64-bit hash, kept for the most recent words up to a bound."""
+_FACTORS = mixed(np.arange(1, 4097, dtype=np.uint64) * _ODD) | np.uint64(1)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _hashed(raw: bytes, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word of ``raw``: a sum of its bytes times factors of their places, then mixed."""
+    flat = np.frombuffer(raw, np.uint8)
+    inside = ~between[flat]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, sizes = edges[::2], np.diff(edges)[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    at = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(at, sizes)
+    factors = _FACTORS[place] if sizes.max() <= len(_FACTORS) else mixed((place.astype(np.uint64) + np.uint64(1)) * _ODD) | np.uint64(1)
+    return mixed(np.add.reduceat(factors * (flat[inside].astype(np.uint64) + np.uint64(1)), at)), starts
 
 
-_HASHES = WordHashes()
+def hashed_words(texts: list[str | None], plain: bool, most_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned 64-bit hashes of all words of texts, one text after the other, and the place of each text's first one (plus the end).
 
-
-def word_hashes() -> WordHashes:
-    """This worker's table of word hashes."""
-    return _HASHES
+    ``plain`` words are those of ``plain_words``; others are runs of anything but ASCII white space. Long input goes in slices.
+    """
+    between = _MARK if plain else _SPACE
+    raws = [((t or "").lower() if plain else t or "").encode("utf-8", "surrogatepass") for t in texts]
+    joined = b" ".join([*raws, b""])
+    ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+    hashes, counts, at = [], np.zeros(len(raws) + 1, np.int64), 0
+    while at < len(joined):
+        end = at + most_bytes
+        while end < len(joined) and not between[joined[end]]:
+            end += 1
+        own, starts = _hashed(joined[at:end], between)
+        hashes.append(own)
+        counts[1:] += np.searchsorted(starts, ends - at)
+        at = end
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
 
 
 def rolled(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import encoder, in_groups, staged
+from .shared import encoder, in_groups, staged, task
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -108,6 +108,7 @@ class Segment:
 def encode_segments(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_tokens: int = 1 << 20) -> DataFrame:
     """Segments of all documents in ascending ``doc_id`` order (range-partitioned, sorted in each partition)."""
 
+    @task
     def encode(batches):
         from_file, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids, lengths, held, size = [], [], [], 0
