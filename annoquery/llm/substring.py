@@ -4,13 +4,15 @@ A window is ``window`` consecutive words of one document. Every window has one f
 among its ``gram``-word runs, so equal windows share it, and neighbouring windows mostly share it too. That makes
 the index several times smaller than one of all windows.
 
-The index is a list of immutable runs (fingerprint, number of documents), each sorted by fingerprint. A batch of
-documents becomes a new run, merge-joined with the older runs to find what it shares with them; when there are too
-many runs they are compacted into one. Windows whose fingerprint is in more than one document are *verified*: their
-whole word sequences are compared by 96 hashed bits, and the smallest ``doc_id`` of each sequence keeps it.
+The index is a folder: immutable runs (fingerprint, number of documents), each bucketed and sorted by fingerprint, the
+postings (document, fingerprint) they were made of, and a manifest. A batch of documents becomes a new run, which is
+merge-joined with every older run, without a shuffle as all have the same buckets; what they share, and what several documents of
+the batch share, are the candidates. When there are too many runs, they are merged into one. Postings lead from the
+candidates to documents, older ones too, whose windows are then *verified*: whole word sequences are compared by
+96 hashed bits, and the smallest ``doc_id`` of each sequence keeps it. Batches come in ascending ``doc_id`` order.
 
-Counting a fingerprint or a sequence combines before the shuffle. The join that marks rows needs no row order and
-no grouping above it, so Spark splits its skewed partitions.
+Hot fingerprints and windows: counts combine before their shuffle. Of n rows at most n / t keys have t rows or
+more, so the keys above such a t fit a broadcast of proven size; rows of these keys are joined where they are, the rest by shuffle.
 
 Empty cases: a null or empty text has no words; a text shorter than a window keeps all words; an empty table gives
 no rows. A row without ``doc_id`` keeps all its words. Rows that repeat a ``doc_id`` are judged each by its own text;
@@ -20,15 +22,19 @@ windows that two such rows share do not count as earlier ones.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import in_groups, release, rolled, staged, word_hashes
+from .shared import WHILE_WRITING, hashed_words, in_groups, release, rolled, settings, shared_dir, staged, task
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+POSTINGS = "doc_id long, text_hash long, mark long"
+#: A bucket of one file is read in its order, so merge joins of runs need no sort.
+SORTED_RUNS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,14 +58,15 @@ def _window_marks(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """Distinct (doc_id, text_hash, mark) of all documents."""
 
+    @task
     def make(batches):
-        table = word_hashes()
         for batch in batches:
             keys, hashed, texts = (batch.column(c).to_pylist() for c in range(3))
-            for a, b in in_groups(texts):
+            for a, b in in_groups(texts, 1 << 18):
+                words, edges = hashed_words(texts[a:b], plain=False)
                 out = []
                 for i in range(a, b):
-                    marks = _window_marks(table.of(words_of(texts[i])), window, gram)
+                    marks = _window_marks(words[edges[i - a] : edges[i - a + 1]], window, gram)
                     if len(marks):
                         marks = marks[np.flatnonzero(np.diff(marks, prepend=-1))]
                         out.append((i, np.unique(marks)))
@@ -73,66 +80,130 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
                         }
                     )
 
-    return docs.where("doc_id is not null").mapInArrow(make, "doc_id long, text_hash long, mark long")
+    return docs.where("doc_id is not null").mapInArrow(make, POSTINGS)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (mark, n): in how many documents added so far a fingerprint occurs."""
-
-    def __init__(self, most_runs: int = 2):
-        self.runs: list[DataFrame] = []
-        self.most_runs = most_runs
-
-    def add(self, marks: DataFrame) -> DataFrame:
-        """Add a batch's fingerprints as a run; returns those of the batch that older runs or other documents of it hold."""
-        run = staged(marks.groupBy("mark").agg(F.count("*").alias("n")).sortWithinPartitions("mark"), "run")
-        shared = run.where("n > 1").select("mark")
+    """Runs and postings of the documents added so far, in one folder that later sessions can open again."""
+
+    def __init__(self, spark: SparkSession, path: str, runs: list[tuple[str, int]] = (), postings: list[str] = (), most_runs: int = 2):
+        self.spark, self.path, self.most_runs = spark, path, most_runs
+        self.runs, self.folders = list(runs), list(postings)  # runs: folder and number of buckets
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "FingerprintIndex":
+        rows = spark.read.schema("run string, buckets int, postings string").json(f"{path}/manifest").collect()  # one row for each run or call
+        return cls(spark, path, [(r["run"], r["buckets"]) for r in rows if r["run"]], [r["postings"] for r in rows if r["postings"]])
+
+    def _table(self, run: tuple[str, int]) -> DataFrame:
+        """A run as a table that knows its buckets and order."""
+        name = "run_" + run[0].rpartition("-")[2]
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} (mark BIGINT, n BIGINT) USING parquet CLUSTERED BY (mark) SORTED BY (mark) INTO {run[1]} BUCKETS LOCATION '{run[0]}'")
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame, buckets: int) -> tuple[str, int]:
+        name = uuid.uuid4().hex
+        run = (f"{self.path}/run-{name}", buckets)
+        with settings(self.spark, WHILE_WRITING | SORTED_RUNS):
+            rows.select("mark", "n").write.bucketBy(buckets, "mark").sortBy("mark").option("path", run[0]).saveAsTable(f"run_{name}")
+        return run
+
+    def _save(self) -> None:
+        rows = [(r, n, None) for r, n in self.runs] + [(None, None, b) for b in self.folders]
+        self.spark.createDataFrame(rows, "run string, buckets int, postings string").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest")
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema(POSTINGS).parquet(*self.folders).select("doc_id", "text_hash", "mark")
+
+    def add(self, marks: DataFrame, cuts: list[int] = ()) -> DataFrame:
+        """Add postings (doc_id, text_hash, mark), one batch for each range of ``doc_id`` that the cuts make.
+
+        Returns (mark, n) of the fingerprints that several documents hold, old or new; n may be too high, never too low.
+        """
+        folder, cuts = f"{self.path}/postings-{uuid.uuid4().hex}", sorted(cuts)
+        batch = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+        with settings(self.spark, WHILE_WRITING | {"spark.sql.maxConcurrentOutputFileWriters": str(len(cuts) + 1)}):
+            marks.withColumn("batch", batch).write.partitionBy("batch").parquet(folder)
+        self.folders.append(folder)
+        parts = [self._add_run(self.spark.read.schema(f"{POSTINGS}, batch int").parquet(folder).where(F.col("batch") == i)) for i in range(len(cuts) + 1)]
+        self._save()
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionAll(part)
+        return staged(out.groupBy("mark").agg(F.sum("n").alias("n")), "candidates")
+
+    def _add_run(self, marks: DataFrame) -> DataFrame:
+        """A batch becomes a run; merge joins with the older runs give what they share."""
+        buckets = self.runs[0][1] if self.runs else max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        run = self._write(marks.groupBy("mark").agg(F.count("*").alias("n")), buckets)
+        new = self._table(run)
+        shared = new.where("n > 1")
         for old in self.runs:
-            shared = shared.union(run.hint("merge").join(old.select("mark"), "mark", "left_semi").select("mark"))
+            shared = shared.unionAll(merged(new, self._table(old), "inner"))
+        with settings(self.spark, SORTED_RUNS):
+            shared = staged(shared, "shared")
         self.runs.append(run)
         if len(self.runs) > self.most_runs:
             self.compact()
-        return shared.distinct()
+        return shared
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into one, bucket by bucket."""
         if len(self.runs) < 2:
             return
-        merged = self.runs[0]
-        for run in self.runs[1:]:
-            merged = merged.union(run)
-        old, spark = self.runs, merged.sparkSession
-        self.runs = [staged(merged.groupBy("mark").agg(F.sum("n").alias("n")).sortWithinPartitions("mark"), "run")]
-        release(spark, *old)
+        tables = [self._table(r) for r in self.runs]
+        whole = tables[0]
+        for other in tables[1:]:
+            whole = merged(whole, other, "full")
+        old, self.runs = self.runs, [self._write(whole, self.runs[0][1])]
+        for (folder, _), table in zip(old, tables):
+            release(table)
+            self.spark.sql(f"DROP TABLE run_{folder.rpartition('-')[2]}")
+
+
+def merged(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """(mark, n) of two runs by a merge join, with the numbers of documents added up."""
+    l, r = left.hint("merge").alias("l"), right.alias("r")
+    n = F.coalesce("l.n", F.lit(0)) + F.coalesce("r.n", F.lit(0))
+    return l.join(r, F.col("l.mark") == F.col("r.mark"), how).select(F.coalesce("l.mark", "r.mark").alias("mark"), n.alias("n"))
+
+
+def _join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], over: int = 1, most_hot: int = 100_000) -> DataFrame:
+    """Join rows with a table of unique keys and their counts ``n``: frequent keys, at most ``most_hot``, by broadcast, others by shuffle.
 
-    def repeated(self) -> DataFrame:
-        """Fingerprints of more than one document."""
-        self.compact()
-        return self.runs[0].where("n > 1").select("mark")
+    The counts may be up to ``over`` times too high. Of n rows, at most ``most_hot`` keys are in over * n / most_hot or more.
+    """
+    least = max(1000, -(-over * rows.count() // most_hot))
+    hot = F.broadcast(staged(keyed.where(F.col("n") >= least).drop("n"), "hot"))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(keyed.where(F.col("n") < least).drop("n"), on)
+    return rows.join(hot, on).unionByName(rest)
 
 
 def _verified_windows(docs: DataFrame, hits: DataFrame, window: int, gram: int) -> DataFrame:
     """(w1, w2, doc_id, text_hash, pos) of the windows whose fingerprint other documents hold."""
 
     def make(batches):
-        table = word_hashes()
         for batch in batches:
-            keys, hashed, texts, marks = (batch.column(c) for c in range(4))
-            for i in range(batch.num_rows):
-                hashes = table.of(words_of(texts[i].as_py()))
-                own = np.isin(_window_marks(hashes, window, gram), np.asarray(marks[i].values))
-                pos = np.flatnonzero(own)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rolled(hashes, window, 2)[pos].view(np.int64)),
-                        pa.array((rolled(hashes, window, 3)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array(np.full(len(pos), keys[i].as_py(), np.int64)),
-                        pa.array(np.full(len(pos), hashed[i].as_py(), np.int64)),
-                        pa.array(pos.astype(np.int32)),
-                    ],
-                    ["w1", "w2", "doc_id", "text_hash", "pos"],
-                )
+            keys, hashed, marks = (batch.column(c) for c in (0, 1, 3))
+            texts = batch.column(2).to_pylist()
+            for a, b in in_groups(texts, 1 << 18):
+                words, edges = hashed_words(texts[a:b], plain=False)
+                for i in range(a, b):
+                    own = words[edges[i - a] : edges[i - a + 1]]
+                    pos = np.flatnonzero(np.isin(_window_marks(own, window, gram), np.asarray(marks[i].values)))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(rolled(own, window, 2)[pos].view(np.int64)),
+                            pa.array((rolled(own, window, 3)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                            pa.array(np.full(len(pos), keys[i].as_py(), np.int64)),
+                            pa.array(np.full(len(pos), hashed[i].as_py(), np.int64)),
+                            pa.array(pos.astype(np.int32)),
+                        ],
+                        ["w1", "w2", "doc_id", "text_hash", "pos"],
+                    )
 
+    @task
     def joined(batches):
         held, rows = [], 0
         for batch in make(batches):
@@ -144,35 +215,29 @@ def _verified_windows(docs: DataFrame, hits: DataFrame, window: int, gram: int)
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    per_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_list("mark").alias("marks"))
+    per_doc = hits.groupBy("doc_id", "text_hash").agg(F.collect_list("mark").alias("marks"))  # a document's own fingerprints
     return docs.join(per_doc, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "marks").mapInArrow(
         joined, "w1 long, w2 int, doc_id long, text_hash long, pos int"
     )
 
 
-def repeated_windows(docs: DataFrame, window: int = 13, gram: int = 4, batches: int = 3) -> DataFrame:
+def repeated_windows(docs: DataFrame, index: FingerprintIndex, earlier: DataFrame | None = None, window: int = 13, gram: int = 4, batches: int = 3) -> DataFrame:
     """(doc_id, text_hash, pos) of the windows whose words also start a window in a document of smaller ``doc_id``.
 
-    ``docs`` has doc_id, text_hash and text. Documents enter the index in ``batches`` ranges of ``doc_id``.
+    ``docs`` and ``earlier`` have doc_id, text_hash and text; ``earlier`` are the documents that the index knows already. New documents
+    enter it in ``batches`` ranges of ``doc_id``.
     """
-    spark = docs.sparkSession
-    marks = staged(fingerprints(docs, window, gram), "marks")
-    index = FingerprintIndex()
-    cuts = sorted(set(marks.select("doc_id").distinct().approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        batch = marks
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") <= high)
-        index.add(batch)
-    hits = staged(marks.join(index.repeated(), "mark"), "hits")
-    release(spark, marks, *index.runs)
-    found = staged(_verified_windows(docs, hits, window, gram), "windows")
-    release(spark, hits)
-    first = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
-    repeats = staged(found.join(first, ["w1", "w2"]).where("doc_id > first").select("doc_id", "text_hash", "pos"), "repeats")
-    release(spark, found)
+    cuts = docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
+    candidates = index.add(fingerprints(docs, window, gram), sorted({int(c) for c in cuts}))
+    hits = staged(_join_counted(index.postings(), candidates, ["mark"], over=batches + index.most_runs), "hits")
+    everything = docs if earlier is None else docs.unionAll(earlier)
+    found = staged(_verified_windows(everything, hits, window, gram), "windows")
+    release(hits)
+    sequences = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    sequences = staged(sequences.where("first < last").drop("last"), "sequences")
+    repeats = _join_counted(found, sequences, ["w1", "w2"]).where("doc_id > first").select("doc_id", "text_hash", "pos")
+    repeats = staged(repeats, "repeats")
+    release(found, sequences)
     return repeats
 
 
@@ -184,20 +249,27 @@ def later_copies(docs: DataFrame) -> DataFrame:
     return staged(named.join(first, "sha").where("doc_id > first").select("doc_id", "text_hash").distinct(), "copies")
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 4, batches: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 4, batches: int = 3, broadcast_rows: int = 500_000, index: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Per document: words, words removed, and the kept words joined by one space, with their digest.
 
+    ``index`` names a folder for the fingerprint index, by default a new one in the shared folder. Called again with it, and with the
+    documents of the calls before as ``earlier``, only the new ``docs`` are read, judged and returned.
+
     All windows of a later copy of a whole text are repeats, so such copies skip the index. They are taken out by a
     broadcast of their ids while there are at most ``broadcast_rows`` (16 bytes each), by a shuffled join beyond.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    spark = docs.sparkSession
+    keyed, before = (d if d is None else d.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text") for d in (docs, earlier))
     copies = later_copies(keyed)
     few = copies.count() <= broadcast_rows
     others = keyed.join(F.broadcast(copies) if few else copies, ["doc_id", "text_hash"], "left_anti")
-    release(docs.sparkSession)
-    starts = repeated_windows(others, window, gram, batches).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("starts"))
+    folder = index or f"{shared_dir(spark)}/annoquery/index-{uuid.uuid4().hex}"
+    stored = FingerprintIndex(spark, folder) if earlier is None else FingerprintIndex.open(spark, folder)
+    repeats = repeated_windows(others, stored, before, window, gram, batches)
+    starts = repeats.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("starts"))
     per_doc = starts.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "text_hash", F.array().cast("array<int>"), F.lit(True)))
 
+    @task
     def cut(batches_):
         for batch in batches_:
             rows, kept = [], []
