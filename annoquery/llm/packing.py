@@ -2,12 +2,14 @@
 
 The lengths' histogram (at most ``capacity`` numbers, whatever the corpus) defines a configuration linear
 program: how often to use each multiset of lengths that fits a sequence, so that every length is covered.
-Multiplicative weights solve it: lengths covered so far lose weight, and a knapsack dynamic program prices the
-next configuration. The fractional solution is rounded down; what it leaves goes through best fit decreasing on
-counts. The plan (a table of length, rank range, sequence range and offset) then places every piece by its rank
-among pieces of its length; ranks come from per-task counts, so no length is gathered in one task.
-
-Empty cases: a null or empty text is the end id alone; an empty table gives no rows. Repeated rows are packed each.
+Multiplicative weights solve it: in each round a length's price falls with its covered share, one knapsack dynamic program prices
+configurations, and the best one through each open length is used as far as its scarcest length allows. No length is covered beyond its
+need, so the solution is feasible. Tokens / ``capacity`` is the dual bound that it is held against. The fractional solution is rounded by running sums, which keep
+the total; what rounding leaves goes through the same program in whole steps, and the last few pieces through best fit decreasing.
+The plan (a table of length, rank range, sequence range and offset) then places every piece by its rank among pieces of its length;
+ranks come from per-task counts, so no length is gathered in one task.
+
+Empty cases: a null or empty text is the end id alone; an empty table gives no rows. Repeated rows are packed each. A null ``doc_id`` is packed like others.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import encoder, in_groups, staged
+from .shared import encoder, in_groups, staged, task
 
 PIECES = "part int, slot long, doc_id long, piece int, start long, length int, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -29,6 +31,7 @@ PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row per piece; ``slot`` is its rank among the pieces of the same length made by the same task."""
 
+    @task
     def cut(batches):
         from_file, part, made = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -49,44 +52,53 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
-def _price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming over the capacity: the configuration of largest total value."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def _price(values: np.ndarray, lengths: np.ndarray, capacity: int, draw: np.random.Generator, slack: float = 1e-3) -> np.ndarray:
+    """Knapsack by dynamic programming over the capacity: for every room, a length that starts a filling of most value, or -1.
+
+    Of the lengths whose filling is within ``slack`` of the best, one is drawn, so that rooms spread over many configurations.
+    """
+    best, choice, drawn = np.zeros(capacity + 1), np.full(capacity + 1, -1), draw.random(capacity + 1)
     for room in range(int(lengths[0]), capacity + 1):
         fit = int(np.searchsorted(lengths, room, "right"))
         worth = best[room - lengths[:fit]] + values[:fit]
-        i = int(worth.argmax())
+        good = np.flatnonzero(worth >= worth.max() * (1 - slack))
+        i = int(good[int(drawn[room] * len(good))])
         best[room], choice[room] = worth[i], i
-    room, out = capacity, {}
-    while room > 0 and choice[room] >= 0:
-        n = int(lengths[choice[room]])
-        out[n] = out.get(n, 0) + 1
-        room -= n
-    return out
+    return choice
 
 
-def solve_configurations(histogram: dict[int, int], capacity: int = 2048, rounds: int = 200, eta: float = 4.0) -> list[tuple[dict[int, int], float]]:
-    """Fractional configuration counts by multiplicative weights; at most ``rounds`` configurations.
+def solve_configurations(histogram: dict[int, float], capacity: int = 2048, whole: bool = False, eta: float = 2.0, rest: float = 0.005, least: float = 0.02) -> list[tuple[dict[int, int], float]]:
+    """Configurations and how often to use each; no length is covered beyond its need.
 
-    A length's price is its size times exp(-eta * share covered). A priced configuration is used until its
-    scarcest length is covered, so no length is covered more than it needs.
+    Ends when all but a share ``rest`` of the pieces is covered. ``whole`` allows whole numbers only, and ends when a round
+    places less than a share ``least`` of the pieces that are left.
     """
     lengths = np.array(sorted(n for n, c in histogram.items() if c), np.int64)
     if not len(lengths):
         return []
     need = np.array([histogram[int(n)] for n in lengths], float)
-    covered, used, at = np.zeros(len(lengths)), [], {int(n): i for i, n in enumerate(lengths)}
-    for _ in range(rounds):
-        open_ = covered < need * (1 - 1e-9)
-        if not open_.any():
-            break
-        left = need - covered
-        configuration = _price((lengths * np.exp(-eta * covered / need))[open_], lengths[open_], capacity)
-        step = min(left[at[n]] / k for n, k in configuration.items())
-        for n, k in configuration.items():
-            covered[at[n]] += k * step
-        used.append((configuration, step))
-    return used
+    left, used, draw = need.copy(), [], np.random.default_rng(3)
+    while True:
+        open_ = np.flatnonzero(left >= 1 if whole else left > need * 1e-6)
+        if not len(open_) or left.sum() <= (0 if whole else rest * need.sum()):
+            return used
+        sizes = lengths[open_]
+        choice = _price(sizes / capacity * np.exp(-eta * (1 - left[open_] / need[open_])), sizes, capacity, draw)
+        before = left.sum()
+        for first in range(len(sizes) - 1, -1, -1):
+            places, room = {int(open_[first]): 1}, capacity - int(sizes[first])
+            while choice[room] >= 0:
+                i = int(open_[choice[room]])
+                places[i] = places.get(i, 0) + 1
+                room -= int(lengths[i])
+            times = min(left[i] / k for i, k in places.items())
+            times = int(times) if whole else times
+            if times > 0:
+                for i, k in places.items():
+                    left[i] -= k * times
+                used.append(({int(lengths[i]): k for i, k in places.items()}, times))
+        if whole and before - left.sum() < least * before:
+            return used
 
 
 def best_fit_decreasing(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[dict[int, int], int]]:
@@ -118,16 +130,31 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = 2048) -> list
     return [(contents, bins) for _, bins, contents in groups]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = 2048, rounds: int = 200) -> list[tuple[dict[int, int], int]]:
-    """Whole configuration counts that hold every piece exactly once."""
-    left, out = dict(histogram), []
-    for configuration, times in solve_configurations(histogram, capacity, rounds):
-        times = min(int(times + 1e-6), *(left[n] // k for n, k in configuration.items()))
-        if times:
-            out.append((configuration, times))
+def plan_sequences(histogram: dict[int, int], capacity: int = 2048) -> tuple[list[tuple[dict[int, int], int]], dict]:
+    """Whole configuration counts that hold every piece exactly once, and figures of the solution.
+
+    Figures: ``bound`` (sequences that any packing needs), ``fractional`` (the program's value), ``sequences``, and ``by_program``, the share of
+    pieces that configurations of the program hold.
+    """
+    left, out, total, value = dict(histogram), [], 0, 0.0
+    solved = solve_configurations(histogram, capacity)
+    for configuration, times in solved:
+        value += times
+        wanted = int(value + 1e-9) - total
+        total += wanted
+        wanted = int(min(wanted, *(left[n] // k for n, k in configuration.items())))
+        if wanted:
+            out.append((configuration, wanted))
             for n, k in configuration.items():
-                left[n] -= k * times
-    return out + best_fit_decreasing(left, capacity)
+                left[n] -= k * wanted
+    for configuration, times in solve_configurations(left, capacity, whole=True):
+        out.append((configuration, times))
+        for n, k in configuration.items():
+            left[n] -= k * times
+    pieces = sum(histogram.values())
+    figures = {"bound": -(-sum(n * c for n, c in histogram.items()) // capacity), "fractional": value, "by_program": 1 - sum(left.values()) / max(1, pieces)}
+    out += best_fit_decreasing(left, capacity)
+    return out, figures | {"sequences": sum(times for _, times in out)}
 
 
 def placements(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
@@ -147,16 +174,16 @@ def placements(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(r, np.int64) for n, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, rounds: int = 200) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of all documents with the sequence and offset that hold them."""
-    return place(staged(cut_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity, rounds)
+    return place(staged(cut_pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
 
 
-def place(pieces: DataFrame, capacity: int = 2048, rounds: int = 200) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Sequence and offset of every piece of ``cut_pieces``. The driver holds only the histogram and its plan."""
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    plan = pieces.sparkSession.sparkContext.broadcast(placements(plan_sequences(histogram, capacity, rounds)))
+    plan = pieces.sparkSession.sparkContext.broadcast(placements(plan_sequences(histogram, capacity)[0]))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("slot"))
