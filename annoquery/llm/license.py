@@ -1,12 +1,14 @@
 """License scan by an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line, or, for text that goes on over line ends, a window of words: windows are three times as long as the
-longest template and start at every half of their length, so each run of 1.5 times that template's length lies in one, whatever
-lines it has. A block's set is its distinct words. It meets a template if it holds at least ``threshold`` of the
-template's distinct words. With template words ordered by their frequency over all documents, rarest first, such a
-block must hold one of the template's first ``size - need + 1`` words (*prefix filter*), have at least ``need`` words
-(*length filter*), and the template must still have enough words from the first one they share (*positional filter*). 
-Blocks that pass are verified by whole intersections, so the result is exact. The templates are a fixed small table.
+A block is a line, or, for text that goes on over line ends, a window of words: for templates of up to 16, 64 and 256 words, windows
+are three times as long and start at every half of their length, so each run of 1.5 times that length lies in one, whatever
+lines it has. A block's set is its distinct words, ordered by frequency over all documents, rarest first, as a template's are. A block meets a
+template if it holds at least ``threshold`` of the template's distinct words. Then it must share one of the template's first
+``size - need + 1`` words (*prefix filter*), have at least ``need`` words (*length filter*), and after the first word they share, both
+must have enough words left (*positional filter*). Pairs that pass are verified by whole intersections, so the result is exact.
+
+One pass over all texts finds the base phrases and the listed words of each document; frequencies are counted from these. Only
+documents that hold enough words of some template as a whole are read again and cut into blocks. The templates are a fixed small table.
 
 Null texts count as empty. An empty table gives no rows. Repeated rows are scanned each.
 """
@@ -18,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import staged
+
 # Phrases whose consecutive words name a license, with its label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -34,6 +38,32 @@ TEMPLATES = [
     ("all rights reserved no part may be reproduced without written permission", "proprietary"),
 ]
 
+# Whole license texts, with their labels.
+MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind
+express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
+the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out
+of or in connection with the software or the use or other dealings in the software"""
+ISC = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above
+copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this
+software including all implied warranties of merchantability and fitness"""
+BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must
+reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the
+distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the
+implied warranties of merchantability and fitness for a particular purpose are disclaimed"""
+APACHE = """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a
+copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the
+license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language
+governing permissions and limitations under the license"""
+GPL = """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free
+software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but
+without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more
+details"""
+TEMPLATES += [(" ".join(text.split()), label) for text, label in ((MIT, "mit"), (ISC, "isc"), (BSD, "bsd"), (APACHE, "apache-2"), (GPL, "gpl-3"))]
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -48,8 +78,8 @@ def _spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
-def phrase_places(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, n_base, first_word, last_word and the array ``base`` of labels, by one narrow pass."""
+def phrase_places(docs: DataFrame, listed: list[str]) -> DataFrame:
+    """doc_id, text_hash, n_words, n_base, first_word, last_word, the array ``base`` of labels, and which listed words a text has, by one narrow pass."""
     padded = docs.select("doc_id", "text_hash", F.concat(F.lit(" "), spaced_words("text"), F.lit(" ")).alias("p"))
     counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in PHRASES.items():
@@ -68,42 +98,58 @@ def phrase_places(docs: DataFrame) -> DataFrame:
         F.least(*firsts).alias("first_word"),
         F.greatest(*lasts).alias("last_word"),
         F.array_compact(F.array(*labels)).alias("base"),
+        F.array_intersect(F.array(*map(F.lit, listed)), F.split("p", " ")).alias("listed"),
     )
 
 
-def word_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
-    """In how many documents each of a fixed list of words occurs."""
-    listed = F.array(*map(F.lit, words))
-    found = docs.select(F.explode(F.array_intersect(F.split(spaced_words("text"), " "), listed)).alias("w"))
-    return {w: 0 for w in words} | {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most one row for each listed word
+def blocks_of(docs: DataFrame, reach: int | None) -> DataFrame:
+    """doc_id, text_hash, block and its words: lines, or windows for templates of up to ``reach`` words."""
+    if reach is None:
+        lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
+        return lines.select("doc_id", "text_hash", "block", F.split(spaced_words("line"), " ").alias("words"))
+    step = math.ceil(1.5 * reach)
+    whole = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", "text_hash", F.split(spaced_words("text"), " ").alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - step - 1) / step).cast("int")))
+    return whole.select("doc_id", "text_hash", F.posexplode(F.transform(starts, lambda i: F.slice("words", i * step + 1, 2 * step))).alias("block", "words"))
 
 
-def template_matches(docs: DataFrame, templates=None, threshold: float = 0.8) -> DataFrame:
-    """doc_id, text_hash, label, score: every (block, template) pair that meets the threshold."""
-    templates = templates or TEMPLATES
-    frequency = word_frequencies(docs, sorted({w for t, _ in templates for w in t.split()}))
+def candidate_pairs(blocks: DataFrame, templates: list[tuple[str, str]], frequency: dict[str, int], threshold: float) -> DataFrame:
+    """Pairs of blocks and templates that pass the filters: with the block's listed words ``own`` and the template's ``words``, both in order, ``need`` and ``size``."""
     rows = []
     for i, (text, label) in enumerate(templates):
         words = sorted(set(text.split()), key=lambda w: (frequency[w], w))
         need = math.ceil(threshold * len(words) - 1e-9)
         rows += [(w, i, label, need, len(words), p, words) for p, w in enumerate(words[: len(words) - need + 1])]
-    index = docs.sparkSession.createDataFrame(rows, "word string, template int, label string, need int, size int, p int, words array<string>")
+    index = blocks.sparkSession.createDataFrame(rows, "word string, template int, label string, need int, size int, p int, words array<string>")
+    order = F.array(*map(F.lit, sorted({w for t, _ in templates for w in t.split()}, key=lambda w: (frequency[w], w))))
     prefix = F.array(*map(F.lit, sorted({r[0] for r in rows})))
-    least = min(r[3] for r in rows)
-    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
-    lines = lines.select("doc_id", "text_hash", "block", F.array_distinct(F.split(spaced_words("line"), " ")).alias("own"))
-    # windows over line ends, of the documents that hold enough listed words at all
-    step = math.ceil(1.5 * max(len(t.split()) for t, _ in templates))
-    listed = F.array(*map(F.lit, sorted({w for t, _ in templates for w in t.split()})))
-    whole = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", "text_hash", F.split(spaced_words("text"), " ").alias("words"))
-    whole = whole.where(F.arrays_overlap("words", prefix) & (F.size(F.array_intersect("words", listed)) >= least))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - step - 1) / step).cast("int")))
-    windows = whole.select("doc_id", "text_hash", F.posexplode(F.transform(starts, lambda i: F.slice("words", i * step + 1, 2 * step))).alias("block", "window"))
-    windows = windows.select("doc_id", "text_hash", (-1 - F.col("block")).alias("block"), F.array_distinct("window").alias("own"))
-    blocks = lines.unionAll(windows)
-    blocks = blocks.where((F.size("own") >= least) & F.arrays_overlap("own", prefix))
-    seeds = blocks.select("doc_id", "text_hash", "block", "own", F.explode(F.array_intersect("own", prefix)).alias("word"))
-    pairs = seeds.join(F.broadcast(index), "word").where((F.size("own") >= F.col("need")) & (F.col("size") - F.col("p") >= F.col("need")))
+    own = blocks.select("doc_id", "text_hash", "block", F.array_intersect(order, "words").alias("own"))
+    own = own.where((F.size("own") >= min(r[3] for r in rows)) & F.arrays_overlap("own", prefix))
+    seeds = own.select("doc_id", "text_hash", "block", "own", F.posexplode("own").alias("q", "word"))
+    pairs = seeds.join(F.broadcast(index), "word").where(F.size("own") >= F.col("need"))
+    first = pairs.groupBy("doc_id", "text_hash", "block", "template").agg(F.min(F.struct("q", "p", "own", "label", "need", "size", "words")).alias("m"))
+    left = F.least(F.size("m.own") - F.col("m.q"), F.col("m.size") - F.col("m.p"))  # words from the first shared one on
+    return first.where(left >= F.col("m.need")).select("doc_id", "text_hash", "block", "template", "m.*")
+
+
+def template_matches(docs: DataFrame, found: DataFrame, templates=None, threshold: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
+    """doc_id, text_hash, label, score: every (block, template) pair that meets the threshold. ``found`` has the listed words of each document."""
+    templates = templates or TEMPLATES
+    frequency = {w: 0 for t, _ in templates for w in t.split()}
+    frequency |= {r["w"]: r["n"] for r in found.select(F.explode("listed").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # one row for each listed word
+    enough = lambda t: F.size(F.array_intersect("listed", F.array(*map(F.lit, sorted(set(t.split())))))) >= math.ceil(threshold * len(set(t.split())) - 1e-9)
+    some = enough(templates[0][0])
+    for text, _ in templates[1:]:
+        some = some | enough(text)
+    ids = staged(found.where(some).select("doc_id", "text_hash").distinct(), "license-candidates")
+    on = F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("d.text_hash") == F.col("i.text_hash"))
+    read = docs.alias("d").join((F.broadcast(ids) if ids.count() <= broadcast_rows else ids).alias("i"), on, "left_semi")
+    read, pairs = staged(read, "license-texts"), None
+    for low, reach in ((0, None), (0, 16), (16, 64), (64, 256)):
+        own = [(t, label) for t, label in templates if reach is None or low < len(t.split()) <= reach]
+        if own:
+            part = candidate_pairs(blocks_of(read, reach), own, frequency, threshold)
+            pairs = part if pairs is None else pairs.unionByName(part)
     common = F.size(F.array_intersect("own", "words"))
     return pairs.where(common >= F.col("need")).select("doc_id", "text_hash", "label", (common / F.col("size")).alias("score"))
 
@@ -111,8 +157,9 @@ def template_matches(docs: DataFrame, templates=None, threshold: float = 0.8) ->
 def scan_licenses(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per document: base phrase places, base labels, all labels and the best score."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    matched = template_matches(keyed, threshold=threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
-    joined = phrase_places(keyed).alias("d").join(
+    found = staged(phrase_places(keyed, sorted({w for t, _ in TEMPLATES for w in t.split()})), "phrases")
+    matched = template_matches(keyed, found, threshold=threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
+    joined = found.alias("d").join(
         matched.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_hash") == F.col("m.text_hash")), "left"
     )
     none = F.array().cast("array<string>")
