@@ -1,10 +1,11 @@
 """Surrogates for personal data and secrets.
 
-Entities are found by patterns: e-mail, phone, payment card, IP address, access key, password, national number, and persons named
-after a title. Each gets a keyed surrogate of its type: letters become letters of the same case and script, digits
-digits, marks stay; cards keep their check digit valid, addresses stay addresses, persons get names of the gender
-their title tells and of their script. An entity is the same wherever it occurs (its canonical form), so mentions
-stay coreferent.
+Entities are found by patterns and checked: e-mail, phone, payment card (Luhn digit), IBAN (mod-97 digits), IP addresses of both versions (not
+after "version" and the like), access key, password, national number, and persons named after a title. In a document that names a person
+after a title, its later mentions without one, and the family name alone, are the same person. Each entity gets a keyed surrogate of its
+type: letters become letters of the same case and script, digits digits, marks stay; check digits stay valid, addresses stay addresses,
+persons get names of the gender their title tells and of their script. An entity is the same wherever it occurs (its canonical form), so
+mentions stay coreferent. The key comes from the caller or from the setting ``spark.annoquery.surrogateKey``; without either, one is drawn for the call.
 
 Collision check: a surrogate that another entity also has, or that is itself an entity of the corpus, is drawn again with
 the next attempt number, until all differ. From attempt 3 on a surrogate grows by one drawn letter or digit an attempt (an
@@ -19,13 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import release, staged
+from .shared import staged, task
 
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
@@ -37,6 +39,11 @@ PATTERNS = [
     ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)"),
     ("person", r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora?)\b\.? [^\W\d_]\w+(?: [^\W\d_a-zà-ÿ]\w+)?"),
 ]
+PATTERNS[3:3] = [
+    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("ip6", r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"),
+]
+_NO_ADDRESS = re.compile(r"(?i)(?:\bversion|\brelease|\bv|\bver|§|\bsection|\bchapter)\.?[ \t]*$")
 _FIND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
 
 #: Every mention has one of these in its line, and no mention crosses a line; other lines are passed over.
@@ -52,13 +59,19 @@ GIVEN = {
     ("m", "greek"): ["Νίκος", "Πέτρος", "Σπύρος"],
     ("f", "greek"): ["Ελένη", "Μαρία", "Σοφία"],
 }
-SCRIPTS = {"latin": ("a", 26), "cyrillic": ("а", 32), "greek": ("α", 17)}
+# First letter and number of letters that surrogates of a script are drawn from, and the code points that tell it.
+SCRIPTS = {"latin": ("a", 26), "cyrillic": ("а", 32), "greek": ("α", 17), "hebrew": ("א", 27), "arabic": ("ب", 19), "devanagari": ("क", 32), "kana": ("か", 40), "hangul": ("가", 2000), "han": ("一", 2000)}
+RANGES = [("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("kana", 0x3040, 0x30FF), ("hangul", 0xAC00, 0xD7A3), ("han", 0x3400, 0x9FFF)]
 
 
 def canonical(kind: str, mention: str) -> str:
     """The form that all mentions of an entity share."""
     if kind in ("phone", "card", "national"):
         return re.sub(r"\D", "", mention)
+    if kind == "iban":
+        return mention.replace(" ", "")
+    if kind == "ip6":
+        return mention.lower()
     if kind == "password":
         return re.split(r"[ \t]*[=:][ \t]*", mention, maxsplit=1)[1]
     if kind == "person":
@@ -82,8 +95,8 @@ class _Stream:
 
 
 def _script(char: str) -> str:
-    code = ord(char.lower())
-    return "cyrillic" if 0x400 <= code <= 0x52F else "greek" if 0x370 <= code <= 0x3FF else "latin"
+    code = ord(char.lower()[:1])
+    return next((name for name, low, high in RANGES if low <= code <= high), "latin")
 
 
 DIGITS = "0123456789"
@@ -124,6 +137,10 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
+def _mod97(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
 def surrogate(kind: str, entity: str, gender: str, key: bytes, attempt: int = 0) -> str:
     """Canonical replacement of a canonical entity."""
     stream = _Stream(key, kind, f"{gender}{entity}", attempt)
@@ -132,6 +149,11 @@ def surrogate(kind: str, entity: str, gender: str, key: bytes, attempt: int = 0)
         name, _, domain = entity.partition("@")
         host, _, suffix = domain.rpartition(".")
         return f"{_alike(name, stream, extra)}@{_alike(host, stream)}.{suffix}"
+    if kind == "iban":
+        body = _alike(entity[4:], stream, extra, DIGITS)
+        return f"{entity[:2]}{98 - _mod97(body + entity[:2] + '00'):02d}{body}"
+    if kind == "ip6":
+        return ":".join("".join("0123456789abcdef"[stream.below(16) if i else 1 + stream.below(15)] for i in range(min(4, len(g) + extra))) if g else "" for g in entity.split(":"))
     if kind == "ip" and extra > 8:
         return "fd" + ":".join(f"{stream.below(256):02x}" if i == 0 else f"{stream.below(65536):x}" for i in range(8))
     if kind == "ip" and extra:
@@ -147,9 +169,9 @@ def surrogate(kind: str, entity: str, gender: str, key: bytes, attempt: int = 0)
         mark = re.match(r"AKIA|ASIA|gh[pousr]_|sk-", entity)[0]
         return mark + _alike(entity[len(mark) :], stream, extra, _MIXED.upper() if entity.isupper() else _MIXED)
     if kind == "person":
-        names = GIVEN[gender if gender in ("m", "f") else "mf"[stream.below(2)], _script(entity[0])]
-        given = names[stream.below(len(names))]
+        names = GIVEN.get((gender if gender in ("m", "f") else "mf"[stream.below(2)], _script(entity[0])))
         parts = entity.split(" ")
+        given = names[stream.below(len(names))] if names else _alike(parts[0], stream)
         first, n = SCRIPTS[_script(entity[0])]
         letters = "".join(chr(ord(first) + i) for i in range(n))
         last = _alike("x" * (6 + stream.below(3)) if _script(entity[0]) == "latin" else parts[-1].lower(), stream, extra, letters).capitalize()
@@ -173,23 +195,55 @@ def _found(text: str):
         start = end + 1
 
 
-def mentions(text: str):
+def _checked(text: str, kind: str, start: int, word: str) -> bool:
+    """Whether a match of a pattern is an entity: check digits hold, and numbers with dots are no versions or sections."""
+    if kind == "card":
+        return _luhn(canonical(kind, word)) == 0
+    if kind == "iban":
+        plain = canonical(kind, word)
+        return _mod97(plain[4:] + plain[:4]) == 1
+    return kind != "ip" or not _NO_ADDRESS.search(text, max(0, start - 12), start)
+
+
+def mentions(text: str) -> list[tuple[str, str, int, int, str]]:
     """(kind, gender, start, end, canonical form) of every entity mention, left to right."""
+    out, persons = [], {}
     for found in _found(text):
-        kind, start, end = found.lastgroup, found.start(), found.end()
-        word = found[0]
-        gender = ""
-        if kind == "password":
-            start = end - len(canonical(kind, word))
+        kind, start, end, word, gender = found.lastgroup, found.start(), found.end(), found[0], ""
+        if not _checked(text, kind, start, word):
+            continue
+        entity = canonical(kind, word)
+        if kind in ("password", "person"):
+            start = end - len(entity)
         if kind == "person":
             title = word.split(" ", 1)[0].rstrip(".")
             gender = "m" if title in MALE else "f" if title in FEMALE else ""
-            start = end - len(canonical(kind, word))
-        yield kind, gender, start, end, canonical(kind, word)
+            persons.setdefault(entity, gender)
+        out.append((kind, gender, start, end, entity))
+    if not persons:
+        return out
+    # one person for a full name and its family name, in this document
+    known = {name: (name, gender) for name, gender in persons.items()}
+    for name, gender in persons.items():
+        family = name.split(" ")[-1]
+        if " " in name and (family not in persons or persons[family] in ("", gender)):
+            known[family] = (name, gender)
+    taken = sorted((start, end) for _, _, start, end, _ in out)
+    out = [(k, known[e][1], a, b, known[e][0]) if k == "person" else (k, g, a, b, e) for k, g, a, b, e in out]
+    for found in re.finditer(r"(?<!\w)(?:" + "|".join(re.escape(n) for n in sorted(known, key=len, reverse=True) if len(n) > 2) + r")(?!\w)", text) if any(len(n) > 2 for n in known) else ():
+        if not any(a < found.end() and found.start() < b for a, b in taken):
+            name, gender = known[found[0]]
+            out.append(("person", gender, found.start(), found.end(), name))
+    return sorted(out, key=lambda m: m[2])
 
 
 def _fit(kind: str, old: str, new: str) -> str:
     """The canonical surrogate in the shape of a mention: digits go to the places of digits, more digits to the end, case follows."""
+    if kind == "person":
+        return new if " " in old else new.split(" ")[-1]
+    if kind == "iban":
+        letters = iter(new)
+        return "".join(c if c == " " else next(letters, "") for c in old) + "".join(letters)
     if kind in ("phone", "card", "national"):
         digits = iter(new)
         return "".join(next(digits, "0") if c.isdigit() else c for c in old) + "".join(digits)
@@ -201,6 +255,7 @@ def _fit(kind: str, old: str, new: str) -> str:
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct (kind, gender, entity) of all texts."""
 
+    @task
     def find(batches):
         for batch in batches:
             found = sorted({(k, g, e) for text in batch.column(0).to_pylist() if text for k, g, _, _, e in mentions(text)})
@@ -249,9 +304,11 @@ def rewrite(text: str | None, attempts: dict, key: bytes) -> tuple[str | None, i
     return "".join([*out, text[at:]]), len(kinds), sorted(set(kinds))
 
 
-def replace_entities(docs: DataFrame, key: str = "annoquery", broadcast_rows: int = 100_000) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str | None = None, broadcast_rows: int = 100_000) -> DataFrame:
     """``docs`` with its text rewritten, plus ``n_entities`` and ``kinds`` (comma-joined); other columns stay."""
-    spark, secret = docs.sparkSession, key.encode()
+    spark = docs.sparkSession
+    key = key or spark.conf.get("spark.annoquery.surrogateKey", None) or secrets.token_hex(32)
+    secret = hashlib.blake2b(key.encode()).digest()
     found = staged(entities(docs), "entities")
     again = assign_surrogates(found, secret).where("attempt > 0").select("kind", "gender", "entity", "attempt")
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
@@ -266,6 +323,7 @@ def replace_entities(docs: DataFrame, key: str = "annoquery", broadcast_rows: in
         source = _with_attempts(base, again)
     at = names.index("text")
 
+    @task
     def work(batches):
         for batch in batches:
             own = batch.column(len(names)).to_pylist() if not few else [None] * batch.num_rows
@@ -278,13 +336,13 @@ def replace_entities(docs: DataFrame, key: str = "annoquery", broadcast_rows: in
             columns += [pa.array([r[1] for r in rows], pa.int64()), pa.array([",".join(r[2]) for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_entities", "kinds"])
 
-    release(spark)
     return source.mapInArrow(work, schema)
 
 
 def _with_attempts(base: DataFrame, again: DataFrame) -> DataFrame:
     """Documents with the attempts of their own entities, for when there are too many to broadcast."""
 
+    @task
     def find(batches):
         for batch in batches:
             rows = [(h, *x) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in sorted({(k, g, e) for k, g, _, _, e in mentions(t or "")})]
