@@ -202,6 +202,8 @@ def _checked(text: str, kind: str, start: int, word: str) -> bool:
     if kind == "iban":
         plain = canonical(kind, word)
         return _mod97(plain[4:] + plain[:4]) == 1
+    if kind == "ip6":
+        return len([g for g in word.split(":") if g]) > 2 and any(c.isdigit() for c in word)
     return kind != "ip" or not _NO_ADDRESS.search(text, max(0, start - 12), start)
 
 
