@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen, old = mark, now
-        now = staged(_pull(_pull(now, False).where("u <> v").distinct(), True).where("u <> v").distinct(), "edges")
+        now = staged(_pull(_pull(now, False).where("u <> v"), True).where("u <> v").distinct(), "edges")
         release(old)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

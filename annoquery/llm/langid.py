@@ -60,12 +60,11 @@ def train(items: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_pydict({"language": [language] * len(some), "bucket": some.astype(np.int32), "n": counts[some]})
 
     counted = items.where("said <> ''").select("said", "text").mapInArrow(count, "language string, bucket int, n long")
-    rows = counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
-    languages = sorted(rows["language"].unique())
+    rows = counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows a language
+    languages, at = np.unique(rows.column("language").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
     table = np.full((BUCKETS, len(languages)), 0.5)
-    for at, language in enumerate(languages):
-        own = rows[rows["language"] == language]
-        table[own["bucket"].to_numpy(), at] += own["n"].to_numpy()
+    table[rows.column("bucket").to_numpy(), at] += rows.column("n").to_numpy()
+    languages = languages.tolist()
     return languages, np.log(table / table.sum(axis=0))
 
 
