@@ -46,9 +46,6 @@ this permission notice shall be included in all copies or substantial portions o
 express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
 the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out
 of or in connection with the software or the use or other dealings in the software"""
-ISC = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above
-copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this
-software including all implied warranties of merchantability and fitness"""
 BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must
 reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the
@@ -62,7 +59,7 @@ GPL = """this program is free software you can redistribute it and or modify it
 software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but
 without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more
 details"""
-TEMPLATES += [(" ".join(text.split()), label) for text, label in ((MIT, "mit"), (ISC, "isc"), (BSD, "bsd"), (APACHE, "apache-2"), (GPL, "gpl-3"))]
+TEMPLATES += [(" ".join(text.split()), label) for text, label in ((MIT, "mit"), (BSD, "bsd"), (APACHE, "apache-2"), (GPL, "gpl-3"))]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -114,7 +114,11 @@ class FingerprintIndex:
         self.spark.createDataFrame(rows, "run string, buckets int, postings string").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.schema(POSTINGS).parquet(*self.folders).select("doc_id", "text_hash", "mark")
+        parts = [self.spark.read.schema(f"{POSTINGS}, batch int").parquet(folder).drop("batch") for folder in self.folders]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionAll(part)
+        return out
 
     def add(self, marks: DataFrame, cuts: list[int] = ()) -> DataFrame:
         """Add postings (doc_id, text_hash, mark), one batch for each range of ``doc_id`` that the cuts make.
@@ -227,7 +231,8 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex, earlier: DataFram
     ``docs`` and ``earlier`` have doc_id, text_hash and text; ``earlier`` are the documents that the index knows already. New documents
     enter it in ``batches`` ranges of ``doc_id``.
     """
-    cuts = docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
+    places = [i / batches for i in range(1, batches)]
+    cuts = docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", places, 0.01) if places else []
     candidates = index.add(fingerprints(docs, window, gram), sorted({int(c) for c in cuts}))
     hits = staged(_join_counted(index.postings(), candidates, ["mark"], over=batches + index.most_runs), "hits")
     everything = docs if earlier is None else docs.unionAll(earlier)
