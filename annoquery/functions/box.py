@@ -25,3 +25,18 @@ def iou(a: str, b: str) -> Column:
 def coverage(inner: str, outer: str) -> Column:
     """Share of the inner box that the outer one covers."""
     return F.try_divide(overlap(inner, outer), area(inner))
+
+
+def grown(p: str, ratio: float, width: float, height: float) -> list[Column]:
+    """Corners of a box grown by a share of its size on each side, to whole pixels, clipped to the image."""
+    w, h = F.col(f"{p}x1") - F.col(f"{p}x0"), F.col(f"{p}y1") - F.col(f"{p}y0")
+    low = lambda c, size: F.greatest(F.lit(0.0), F.floor(F.col(c) - ratio * size).cast("double"))
+    high = lambda c, size, most: F.least(F.lit(float(most)), F.ceil(F.col(c) + ratio * size).cast("double"))
+    return [low(f"{p}x0", w).alias("x0"), low(f"{p}y0", h).alias("y0"), high(f"{p}x1", w, width).alias("x1"), high(f"{p}y1", h, height).alias("y1")]
+
+
+def letterbox(width: Column, height: Column, size: int) -> Column:
+    """Struct of scale, scaled size and padding that centre an image in a square."""
+    scale = F.least(F.lit(float(size)) / width, F.lit(float(size)) / height)
+    w, h = F.bround(width * scale).cast("int"), F.bround(height * scale).cast("int")
+    return F.struct(F.round(scale, 9).alias("scale"), w.alias("width"), h.alias("height"), F.floor((size - w) / 2).cast("int").alias("pad_x"), F.floor((size - h) / 2).cast("int").alias("pad_y"))

@@ -19,13 +19,8 @@ def iou_pairs(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return pairs.withColumn("iou", F.round(box.iou("p_", "g_"), 9)).where("iou > 0")
 
 
-def greedy_match(pairs: DataFrame, least: float = 0.5) -> DataFrame:
-    """One-to-one matches in each (image, category) by falling IoU, ties by prediction then annotation.
-
-    A pair of which no better pair shares a side is final at once. Only what conflicts is folded in order, one small
-    array for each group.
-    """
-    keys = ["image_id", "category"]
+def greedy_match(pairs: DataFrame, least: float = 0.5, keys: tuple[str, ...] = ("image_id", "category")) -> DataFrame:
+    """One-to-one matches in each group by falling IoU, ties by prediction then annotation; the pairs of a group are folded as one small array."""
     good = pairs.where(F.col("iou") >= least)
     items = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("k"), F.col("p_pred_id").alias("p"), F.col("g_ann_id").alias("g"))))
     empty = F.array().cast("array<struct<k:double,p:bigint,g:bigint>>")
@@ -36,18 +31,22 @@ def greedy_match(pairs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def match_summary(truth: DataFrame, predictions: DataFrame, matches: DataFrame, by: str) -> DataFrame:
-    """Per group: counts, precision, recall, F1 and mean matched IoU in percent; null on an empty denominator."""
+    """Per group: counts, precision, recall, F1, mean and median IoU of matches and the mean over all targets, and the shares of IoU 0.85, in percent; null on an empty denominator."""
     g = truth.groupBy(by).agg(F.count("*").alias("gt"))
     p = predictions.groupBy(by).agg(F.count("*").alias("pred"))
-    m = matches.groupBy(by).agg(F.count("*").alias("matched"), F.avg("iou").alias("mean_iou"))
+    m = matches.groupBy(by).agg(F.count("*").alias("matched"), F.avg("iou").alias("mean_iou"), F.median("iou").alias("median_iou"), F.sum("iou").alias("total"), F.count_if(F.col("iou") >= 0.85).alias("high"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    rows = g.join(p, by, "full").join(m, by, "full").select(by, zero("gt"), zero("pred"), zero("matched"), "mean_iou")
+    rows = g.join(p, by, "full").join(m, by, "full").select(by, zero("gt"), zero("pred"), zero("matched"), zero("high"), "mean_iou", "median_iou", "total")
     return rows.select(
         by, "gt", "pred", "matched",
         percent(F.col("matched"), F.col("pred")).alias("precision50"),
         percent(F.col("matched"), F.col("gt")).alias("recall50"),
         percent(2 * F.col("matched"), F.col("gt") + F.col("pred")).alias("f1"),
         F.round(100 * F.col("mean_iou"), 4).alias("matched_iou"),
+        F.round(100 * F.col("median_iou"), 4).alias("median_iou"),
+        F.when(F.col("gt") > 0, F.round(100 * F.coalesce("total", F.lit(0.0)) / F.col("gt"), 4)).alias("all_gt_iou"),
+        percent(F.col("high"), F.col("matched")).alias("matched85"),
+        percent(F.col("high"), F.col("gt")).alias("all_gt85"),
     )
 
 
@@ -58,29 +57,34 @@ def top_k(predictions: DataFrame, k: int, by: tuple[str, ...] = ("image_id", "ca
 
 
 def operating_points(predictions: DataFrame, truth: DataFrame, thresholds: list[float], ks: list[int], least: float = 0.5) -> DataFrame:
-    """Precision, recall and F1 at every (threshold, top-k) point from one pass.
+    """Precision, recall, F1 and macro recall at every (threshold, top-k) point, with one-to-one matches of the point's own predictions.
 
-    IoU is computed once. A prediction enters a point by its score and rank, and counts as matched if it is the best-scored
-    prediction in the point for the annotation it overlaps most.
+    IoU is computed once. ``best_f1`` and ``best_macro`` mark the first point of the highest value.
     """
-    spark = predictions.sparkSession
-    grid = F.broadcast(spark.createDataFrame([(float(t), int(k)) for t in thresholds for k in ks], "threshold double, k int"))  # the parameter grid
+    points = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(int(k)).alias("k")) for t in thresholds for k in ks])
+    inside = F.explode(F.filter(points, lambda p: (F.col("score") >= p["threshold"]) & (F.col("rank") <= p["k"])))
     ranked = predictions.withColumn("rank", F.row_number().over(Window.partitionBy("image_id", "category").orderBy(F.desc("score"), "pred_id")))
-    best = iou_pairs(predictions, truth).where(F.col("iou") >= least)
-    best = best.groupBy(F.col("p_pred_id").alias("pred_id")).agg(F.max(F.struct("iou", (-F.col("g_ann_id")).alias("g"))).alias("b"))
-    rows = ranked.join(best, "pred_id", "left").select("score", "rank", (-F.col("b.g")).alias("ann_id"))
-    points = rows.join(grid, (F.col("score") >= F.col("threshold")) & (F.col("rank") <= F.col("k")))
-    n_truth = truth.agg(F.count("*").alias("gt"))
-    counted = points.groupBy("threshold", "k").agg(F.count("*").alias("pred"), F.countDistinct("ann_id").alias("matched")).join(n_truth, how="cross")  # one row
-    return counted.select(
+    counted = ranked.select(inside.alias("p")).groupBy("p.threshold", "p.k").agg(F.count("*").alias("pred"))
+    pairs = iou_pairs(ranked.withColumnRenamed("score", "_s").withColumnRenamed("rank", "_r"), truth).where(F.col("iou") >= least)
+    pairs = pairs.withColumnsRenamed({"p__s": "score", "p__r": "rank"}).select("*", inside.alias("p")).select("image_id", "category", "p_pred_id", "g_ann_id", "iou", "p.threshold", "p.k")
+    matches = greedy_match(pairs, least, ("threshold", "k", "image_id", "category"))
+    sizes = truth.groupBy("category").agg(F.count("*").alias("size"))
+    by_class = matches.groupBy("threshold", "k", "category").agg(F.count("*").alias("m")).join(sizes, "category")
+    totals = by_class.groupBy("threshold", "k").agg(F.sum("m").alias("matched"), F.sum(F.col("m") / F.col("size")).alias("recalls"))
+    n_truth = sizes.agg(F.sum("size").alias("gt"), F.count("*").alias("classes"))
+    out = counted.join(totals, ["threshold", "k"], "left").join(n_truth, how="cross").withColumn("matched", F.coalesce("matched", F.lit(0)))  # one row
+    out = out.select(
         "threshold", "k", "pred", "matched",
         percent(F.col("matched"), F.col("pred")).alias("precision"), percent(F.col("matched"), F.col("gt")).alias("recall"),
         percent(2 * F.col("matched"), F.col("pred") + F.col("gt")).alias("f1"),
+        percent(F.coalesce("recalls", F.lit(0.0)), F.col("classes")).alias("macro_recall"),
     )
+    first = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "threshold", "k")) == 1  # noqa: E731  # one row for each point
+    return out.withColumn("best_f1", first("f1")).withColumn("best_macro", first("macro_recall"))
 
 
 def average_precision(predictions: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
-    """101-point interpolated AP per category, from score-ordered cumulative precision."""
+    """101-point interpolated AP per category, from score-ordered cumulative precision; 0 without predictions, null without targets."""
     hits = matches.select("pred_id", F.lit(1).alias("tp"))
     ranked = predictions.join(hits, "pred_id", "left").select("category", "score", "pred_id", F.coalesce("tp", F.lit(0)).alias("tp"))
     order = Window.partitionBy("category").orderBy(F.desc("score"), "pred_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -92,7 +96,9 @@ def average_precision(predictions: DataFrame, truth: DataFrame, matches: DataFra
     steps = best.withColumn("envelope", F.max("precision").over(right))
     below = F.lag("reach", 1, -1).over(Window.partitionBy("category").orderBy("reach"))
     steps = steps.withColumn("points", F.col("reach") - below)
-    return steps.groupBy("category").agg(F.round(100 * F.sum(F.col("envelope") * F.col("points")) / 101, 6).alias("ap"))
+    area = steps.groupBy("category").agg(F.round(100 * F.sum(F.col("envelope") * F.col("points")) / 101, 6).alias("ap"))
+    every = n.join(predictions.select("category").distinct(), "category", "full").join(area, "category", "left")
+    return every.select("category", F.when(F.col("gt").isNotNull(), F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 
 def summary_by_axes(rows: DataFrame, axes: dict[str, Column], value: Column) -> DataFrame:

@@ -12,6 +12,43 @@ def rectangle_runs(boxes: DataFrame, key: str) -> DataFrame:
     return boxes.where("x1 > x0 and y1 > y0").select("image_id", key, rows.alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
 
 
+def rle_runs(rows: DataFrame, key: str) -> DataFrame:
+    """Runs of uncompressed run-length masks: ``size`` (height, width) and ``counts`` of background and mask pixels in turn, column after column.
+
+    Runs come back as column runs with x and y exchanged, which areas, unions and overlaps of such masks don't notice; ``y`` is the column.
+    """
+    ends = F.aggregate("counts", F.array().cast("array<bigint>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)), lambda acc: acc)
+    spans = F.filter(F.transform(ends, lambda e, i: F.named_struct(F.lit("a"), e - F.get("counts", i), F.lit("b"), e, F.lit("i"), i)), lambda s: (s["i"] % 2 == 1) & (s["b"] > s["a"]))
+    height = F.get("size", F.lit(0)).cast("bigint")
+    flat = rows.where(F.size("size") == 2).select("image_id", key, height.alias("h"), F.explode(spans).alias("s"))
+    column = F.explode(F.sequence(F.floor(F.col("s.a") / F.col("h")), F.floor((F.col("s.b") - 1) / F.col("h"))))
+    cut = flat.select("image_id", key, "h", "s", column.alias("y"))
+    return cut.select("image_id", key, F.col("y").cast("int").alias("y"), (F.greatest("s.a", F.col("y") * F.col("h")) - F.col("y") * F.col("h")).cast("int").alias("x0"), (F.least("s.b", (F.col("y") + 1) * F.col("h")) - F.col("y") * F.col("h")).cast("int").alias("x1"))
+
+
+def polygon_runs(rows: DataFrame, key: str) -> DataFrame:
+    """Runs of ``polygons`` (arrays x, y, x, y ...): pixels whose centre is inside, by the even-odd rule in each polygon; a mask is the union of its polygons."""
+    each = rows.select("image_id", key, F.posexplode("polygons").alias("part", "p"))
+    n = F.size("p")
+    point = lambda i, c: F.get("p", F.pmod(2 * i + c, n).cast("int"))
+    edges = F.transform(F.sequence(F.lit(0), (n / 2).cast("int") - 1), lambda i: F.named_struct(F.lit("xa"), point(i, 0), F.lit("ya"), point(i, 1), F.lit("xb"), point(i + 1, 0), F.lit("yb"), point(i + 1, 1)))
+    tops = F.filter("p", lambda v, i: i % 2 == 1)
+    rows = each.select("image_id", key, "part", edges.alias("edges"), F.explode(F.sequence(F.floor(F.array_min(tops)).cast("int"), F.ceil(F.array_max(tops)).cast("int"))).alias("y"))
+    middle = F.col("y") + 0.5
+    crossed = F.filter("edges", lambda e: (e["ya"] <= middle) != (e["yb"] <= middle))
+    places = F.array_sort(F.transform(crossed, lambda e: F.ceil(e["xa"] + (middle - e["ya"]) * (e["xb"] - e["xa"]) / (e["yb"] - e["ya"]) - 0.5)))
+    pairs = F.filter(F.transform(places, lambda x, i: F.named_struct(F.lit("x0"), x, F.lit("x1"), F.get(places, i + 1), F.lit("i"), i)), lambda r: (r["i"] % 2 == 0) & (r["x1"] > r["x0"]))
+    runs = rows.select("image_id", key, "y", F.explode(pairs).alias("r")).select("image_id", key, "y", F.col("r.x0").cast("int").alias("x0"), F.col("r.x1").cast("int").alias("x1"))
+    return union_runs(runs, ["image_id", key])
+
+
+def patch_fractions(runs: DataFrame, by: list[str], size: int) -> DataFrame:
+    """(by, patch_x, patch_y, fraction): the share of each size x size patch that a mask covers; patches without a pixel have no row."""
+    cut = runs.select(*by, "y", "x0", "x1", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor((F.col("x1") - 1) / size))).alias("patch_x"))
+    width = F.least("x1", (F.col("patch_x") + 1) * size) - F.greatest("x0", F.col("patch_x") * size)
+    return cut.groupBy(*by, "patch_x", F.floor(F.col("y") / size).alias("patch_y")).agg(F.round(F.sum(width) / (size * size), 9).alias("fraction"))
+
+
 def union_runs(runs: DataFrame, by: list[str]) -> DataFrame:
     """Runs merged where they touch: the union of all masks of a group."""
     order = Window.partitionBy(*by, "y").orderBy("x0", "x1")

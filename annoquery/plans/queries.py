@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import box, text
-from ..operators import etl, evaluate, governance, grounding, masks, reports, retrieval, sampling
+from ..operators import conversion, etl, evaluate, governance, grounding, masks, reports, retrieval, sampling
 from ..sources import views
 from ..sources.views import SQL, annotations, predictions, table
 
@@ -82,31 +82,61 @@ def box_iou_pairs(spark, sf_dir):
     return evaluate.iou_pairs(predictions(spark, sf_dir), annotations(spark, sf_dir)).select(F.col("p_pred_id").alias("pred_id"), F.col("g_ann_id").alias("ann_id"), "iou")
 
 
-@query(None)
+def greedy_sql(source: str, keys: str, name: str) -> str:
+    """Common table expressions that match one to one: the ordered pairs of a group are walked, with lists of what is taken."""
+    same = " AND ".join(f"o.{k} = w.{k}" for k in keys.split(", "))
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY iou DESC, pred_id, ann_id) AS rn FROM {source}),
+    {name}_w AS (SELECT {keys}, rn, [pred_id] AS ps, [ann_id] AS gs FROM {name}_o WHERE rn = 1 UNION ALL
+      SELECT {", ".join("o." + k for k in keys.split(", "))}, o.rn, CASE WHEN list_contains(ps, pred_id) OR list_contains(gs, ann_id) THEN ps ELSE list_append(ps, pred_id) END,
+        CASE WHEN list_contains(ps, pred_id) OR list_contains(gs, ann_id) THEN gs ELSE list_append(gs, ann_id) END FROM {name}_w w JOIN {name}_o o ON {same} AND o.rn = w.rn + 1),
+    {name}_l AS (SELECT * FROM {name}_w QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY rn DESC) = 1),
+    {name} AS (SELECT * FROM (SELECT {keys}, unnest(ps) AS pred_id, unnest(gs) AS ann_id FROM {name}_l) JOIN (SELECT {keys}, pred_id, ann_id, iou FROM {name}_o) USING ({keys}, pred_id, ann_id))"""
+
+
+_MATCH = _PAIRS.replace("WITH", "WITH RECURSIVE", 1) + ", v_good AS (SELECT p.image_id, p.category, pred_id, ann_id, iou FROM v_pairs JOIN v_pred p USING (pred_id) WHERE iou >= 0.5), " + greedy_sql("v_good", "image_id, category", "v_match")
+
+
+@query(_MATCH + " SELECT pred_id, ann_id, iou FROM v_match")
 def greedy_matches(spark, sf_dir):
     return evaluate.greedy_match(evaluate.iou_pairs(predictions(spark, sf_dir), annotations(spark, sf_dir))).select("pred_id", "ann_id", "iou")
 
 
-@query(None)
+@query(
+    _MATCH
+    + """, g AS (SELECT category, count(*) AS gt FROM v_ann GROUP BY 1), p AS (SELECT category, count(*) AS pred FROM v_pred GROUP BY 1),
+    m AS (SELECT category, count(*) AS matched, avg(iou) AS mean_iou, median(iou) AS median_iou, sum(iou) AS total, count(*) FILTER (iou >= 0.85) AS high FROM v_match GROUP BY 1),
+    r AS (SELECT category, coalesce(gt, 0) AS gt, coalesce(pred, 0) AS pred, coalesce(matched, 0) AS matched, mean_iou, median_iou, total, coalesce(high, 0) AS high FROM g FULL JOIN p USING (category) FULL JOIN m USING (category))
+    SELECT category, gt, pred, matched, round(100.0 * (matched::DOUBLE / nullif(pred, 0)), 6) AS precision50, round(100.0 * (matched::DOUBLE / nullif(gt, 0)), 6) AS recall50, round(100.0 * ((2 * matched)::DOUBLE / nullif(gt + pred, 0)), 6) AS f1,
+    round(100 * mean_iou, 4) AS matched_iou, round(100 * median_iou, 4) AS median_iou, CASE WHEN gt > 0 THEN round(100 * coalesce(total, 0) / gt, 4) END AS all_gt_iou, round(100.0 * (high::DOUBLE / nullif(matched, 0)), 6) AS matched85, round(100.0 * (high::DOUBLE / nullif(gt, 0)), 6) AS all_gt85 FROM r"""
+)
 def match_summary_by_category(spark, sf_dir):
     p, g = predictions(spark, sf_dir), annotations(spark, sf_dir)
     return evaluate.match_summary(g, p, evaluate.greedy_match(evaluate.iou_pairs(p, g)), "category")
 
 
-@query(None)
+@query(
+    _MATCH
+    + """, h AS (SELECT category, score, pred_id, pred_id IN (SELECT pred_id FROM v_match) AS tp FROM v_pred), n AS (SELECT category, count(*) AS gt FROM v_ann GROUP BY 1),
+    c AS (SELECT category, gt, sum(tp::INT) OVER w AS tps, count(*) OVER w AS seen FROM h JOIN n USING (category) WINDOW w AS (PARTITION BY category ORDER BY score DESC, pred_id ROWS UNBOUNDED PRECEDING)),
+    pts AS (SELECT category, i, max(tps::DOUBLE / seen) AS precision FROM c JOIN (SELECT unnest(range(101)) AS i) r ON tps * 100 >= i * gt GROUP BY 1, 2), a AS (SELECT category, sum(precision) AS total FROM pts GROUP BY 1)
+    SELECT category, CASE WHEN gt IS NOT NULL THEN round(100 * coalesce(total, 0) / 101, 6) END AS ap FROM (SELECT DISTINCT category FROM v_pred UNION SELECT category FROM n) LEFT JOIN n USING (category) LEFT JOIN a USING (category)"""
+)
 def average_precision_by_category(spark, sf_dir):
     p, g = predictions(spark, sf_dir), annotations(spark, sf_dir)
     return evaluate.average_precision(p, g, evaluate.greedy_match(evaluate.iou_pairs(p, g)))
 
 
 @query(
-    _PAIRS
-    + """, best AS (SELECT pred_id, arg_max(ann_id, (iou, -ann_id)) AS ann_id FROM v_pairs WHERE iou >= 0.5 GROUP BY 1),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, category ORDER BY score DESC, pred_id) AS rank FROM v_pred),
-    grid AS (SELECT * FROM (VALUES (0.0), (0.25), (0.5), (0.8)) t(threshold), (VALUES (1), (3), (100)) k(k)),
-    c AS (SELECT threshold::DOUBLE AS threshold, k, count(*) AS pred, count(DISTINCT ann_id) AS matched FROM ranked LEFT JOIN best USING (pred_id) JOIN grid ON score >= threshold AND rank <= k GROUP BY 1, 2)
-    SELECT threshold, k, pred, matched, round(100.0 * (matched::DOUBLE / pred), 6) AS precision, round(100.0 * (matched::DOUBLE / (SELECT count(*) FROM v_ann)), 6) AS recall,
-    round(100.0 * ((2 * matched)::DOUBLE / (pred + (SELECT count(*) FROM v_ann))), 6) AS f1 FROM c"""
+    _PAIRS.replace("WITH", "WITH RECURSIVE", 1)
+    + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, category ORDER BY score DESC, pred_id) AS rank FROM v_pred),
+    grid AS (SELECT threshold::DOUBLE AS threshold, k FROM (VALUES (0.0), (0.25), (0.5), (0.8)) t(threshold), (VALUES (1), (3), (100)) k(k)),
+    v_in AS (SELECT threshold, k, r.image_id, r.category, pred_id, ann_id, iou FROM v_pairs JOIN ranked r USING (pred_id) JOIN grid ON score >= threshold AND rank <= k WHERE iou >= 0.5), """
+    + greedy_sql("v_in", "threshold, k, image_id, category", "v_point")
+    + """, c AS (SELECT threshold, k, count(*) AS pred FROM ranked JOIN grid ON score >= threshold AND rank <= k GROUP BY 1, 2), n AS (SELECT category, count(*) AS size FROM v_ann GROUP BY 1),
+    b AS (SELECT threshold, k, category, count(*) AS m, any_value(size) AS size FROM v_point JOIN n USING (category) GROUP BY 1, 2, 3), t AS (SELECT threshold, k, sum(m) AS matched, sum(m::DOUBLE / size) AS recalls FROM b GROUP BY 1, 2),
+    o AS (SELECT threshold, k, pred, coalesce(matched, 0)::BIGINT AS matched, (SELECT sum(size) FROM n) AS gt, coalesce(recalls, 0) / (SELECT count(*) FROM n) AS macro FROM c LEFT JOIN t USING (threshold, k)),
+    f AS (SELECT threshold, k, pred, matched, round(100.0 * (matched::DOUBLE / pred), 6) AS precision, round(100.0 * (matched::DOUBLE / gt), 6) AS recall, round(100.0 * ((2 * matched)::DOUBLE / (pred + gt)), 6) AS f1, round(100 * macro, 6) AS macro_recall FROM o)
+    SELECT *, row_number() OVER (ORDER BY f1 DESC, threshold, k) = 1 AS best_f1, row_number() OVER (ORDER BY macro_recall DESC, threshold, k) = 1 AS best_macro FROM f"""
 )
 def operating_point_scan(spark, sf_dir):
     return evaluate.operating_points(predictions(spark, sf_dir), annotations(spark, sf_dir), [0.0, 0.25, 0.5, 0.8], [1, 3, 100])
@@ -128,8 +158,7 @@ def part_containers(spark, sf_dir):
     grown = [F.greatest(F.lit(0.0), F.col(c) - 40).alias(f"g_{c}") for c in ("x0", "y0")] + [F.least(F.lit(200.0), F.col(c) + 40).alias(f"g_{c}") for c in ("x1", "y1")]
     garments = rows.where("line = 1").select("image_id", F.col("ann_id").alias("garment"), *grown)
     parts = rows.where("line <> 1").select("image_id", F.col("ann_id").alias("part"), *[F.col(c).alias(f"p_{c}") for c in ("x0", "y0", "x1", "y1")])
-    inside = parts.join(garments, "image_id").where(box.coverage("p_", "g_") >= 0.8)
-    return inside.groupBy("part").agg(F.count("*").alias("n"), F.min("garment").alias("garment")).where("n = 1").select("part", "garment")
+    return conversion.containers(parts, garments, box.coverage("p_", "g_") >= 0.8)
 
 
 @query(
@@ -151,7 +180,7 @@ def mask_iou_pairs(spark, sf_dir):
     return masks.mask_iou(left, right, "pred_id", "ann_id")
 
 
-@query(None)
+@query(f"WITH {SQL}, px AS (SELECT DISTINCT image_id, x, unnest(generate_series(y0::INT, y1::INT - 1)) AS y FROM (SELECT image_id, y0, y1, unnest(generate_series(x0::INT, x1::INT - 1)) AS x FROM v_ann)) SELECT image_id, count(*) AS pixels FROM px GROUP BY 1")
 def union_mask_area(spark, sf_dir):
     runs = masks.rectangle_runs(annotations(spark, sf_dir), "ann_id")
     return masks.mask_area(masks.union_runs(runs, ["image_id"]), ["image_id"])
@@ -395,10 +424,10 @@ def quota_slots(spark, sf_dir):
     return governance.spread_slots(counts, "source", "slots-v1")
 
 
-_CASES = _PAIRS + """, cases AS (SELECT DISTINCT image_id AS case_id, CASE image_id % 5 WHEN 0 THEN 'negative' WHEN 1 THEN 'unlabelled' WHEN 2 THEN 'mask' ELSE 'box' END AS status,
+_CASES = _PAIRS.replace("WITH", "WITH RECURSIVE", 1) + """, v_case AS (SELECT p.image_id, p.category, pred_id, ann_id, iou FROM v_pairs JOIN v_pred p USING (pred_id) JOIN (SELECT ann_id FROM v_ann WHERE NOT iscrowd) USING (ann_id) WHERE iou >= 0.5 AND score >= 0.6), """ + greedy_sql("v_case", "image_id, category", "v_match") + """, cases AS (SELECT DISTINCT image_id AS case_id, CASE image_id % 5 WHEN 0 THEN 'negative' WHEN 1 THEN 'unlabelled' WHEN 2 THEN 'mask' ELSE 'box' END AS status,
     CASE WHEN image_id % 3 > 0 THEN 1 + image_id % 4 END AS expected FROM v_ann),
     t AS (SELECT image_id AS case_id, count(*) AS targets FROM v_ann WHERE NOT iscrowd GROUP BY 1), r AS (SELECT image_id AS case_id, count(*) AS regions FROM v_pred WHERE score >= 0.6 GROUP BY 1),
-    m AS (SELECT image_id AS case_id, count(DISTINCT ann_id) AS matched FROM v_pairs JOIN v_pred USING (image_id, pred_id) JOIN (SELECT ann_id FROM v_ann WHERE NOT iscrowd) USING (ann_id) WHERE iou >= 0.5 AND score >= 0.6 GROUP BY 1),
+    m AS (SELECT image_id AS case_id, count(*) AS matched FROM v_match GROUP BY 1),
     n AS (SELECT case_id, status, expected, coalesce(regions, 0) AS regions, status IN ('mask', 'box') AS positive,
       CASE WHEN status IN ('mask', 'box') THEN coalesce(targets, 0) ELSE 0 END AS targets, CASE WHEN status IN ('mask', 'box') THEN coalesce(matched, 0) ELSE 0 END AS matched
       FROM cases LEFT JOIN t USING (case_id) LEFT JOIN r USING (case_id) LEFT JOIN m USING (case_id)),
@@ -408,7 +437,7 @@ _CASES = _PAIRS + """, cases AS (SELECT DISTINCT image_id AS case_id, CASE image
 
 def _outcomes(spark, sf_dir):
     truth, found = annotations(spark, sf_dir).where("not iscrowd"), predictions(spark, sf_dir).where("score >= 0.6")
-    matched = evaluate.iou_pairs(found, truth).where("iou >= 0.5").select(F.col("image_id").alias("case_id"), "g_ann_id").distinct()
+    matched = evaluate.greedy_match(evaluate.iou_pairs(found, truth)).select(F.col("image_id").alias("case_id"))
     case = F.col("image_id").alias("case_id")
     status = F.when(F.expr("image_id % 5 = 0"), "negative").when(F.expr("image_id % 5 = 1"), "unlabelled").when(F.expr("image_id % 5 = 2"), "mask").otherwise("box")
     cases = annotations(spark, sf_dir).select(case, status.alias("status"), F.when(F.expr("image_id % 3 > 0"), F.expr("1 + image_id % 4")).alias("expected")).distinct()
@@ -490,3 +519,6 @@ def crop_coverage(spark, sf_dir):
     clipped = [F.greatest(F.lit(0.0), c).alias(c) for c in ("x0", "y0")] + [F.least(F.lit(200.0), c).alias(c) for c in ("x1", "y1")]
     crops = evaluate.top_k(predictions(spark, sf_dir), 3, ("image_id",)).select("image_id", "rank", *clipped).where("x1 > x0 and y1 > y0")
     return reports.coverage_summary(reports.crop_coverage(annotations(spark, sf_dir).where("line = 1"), crops, [1, 3], 200 * 200))
+
+
+from . import more_queries  # noqa: E402,F401  registers the rest

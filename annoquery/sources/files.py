@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +40,52 @@ def path_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_gated(rows: DataFrame, path: str, least: int) -> int:
-    """Write JSON lines; fails if fewer than ``least`` rows were written. Returns the number of rows."""
-    seen = Observation()
-    rows.observe(seen, F.count("*").alias("n")).write.mode("overwrite").json(path)
+    """Write JSON lines, if there are at least ``least`` rows; returns their number.
+
+    Rows are written aside first. With too few of them the job fails, and what was at ``path`` before stays.
+    """
+    seen, aside = Observation(), f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    rows.observe(seen, F.count("*").alias("n")).write.json(aside)
+    if seen.get["n"] >= least:
+        rows.sparkSession.read.schema(rows.schema).json(aside).write.mode("overwrite").json(path)
+    rows.sparkSession.range(0).write.mode("overwrite").json(aside)
     if seen.get["n"] < least:
         raise ValueError(f"{seen.get['n']} rows written; {least} are needed")
     return seen.get["n"]
+
+
+def with_row_index(rows: DataFrame) -> DataFrame:
+    """Adds ``row_index``, from 0 in each file, by the reader's own row numbers where it has them (Parquet)."""
+    return rows.select("*", F.col("_metadata.row_index").alias("row_index"), F.col("_metadata.file_name").alias("file"))
+
+
+def sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """Sidecar documents with keys of their own: stem, ``items`` (each key that starts with ``item`` and its object, in key order) and ``metadata`` (the rest)."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1).alias("stem"), F.from_json("value", "map<string,string>").alias("m"))
+    is_item = lambda k, _: k.startswith("item")
+    items = F.array_sort(F.map_entries(F.map_filter("m", is_item)))
+    return text.select("stem", items.alias("items"), F.map_filter("m", lambda k, v: ~is_item(k, v)).alias("metadata"))
+
+
+def images_with_sidecars(images: DataFrame, sidecars: DataFrame, limit: int | None = None) -> DataFrame:
+    """Images in path order, the first ``limit`` of them, with their sidecar of the same stem where there is one."""
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    some = images.withColumn("stem", stem)
+    return (some if limit is None else some.orderBy("path").limit(limit)).join(sidecars, "stem", "left")
+
+
+def image_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes and sha256 of image files."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return rows.select("path", "length", F.sha2("content", 256).alias("sha"))
+
+
+def list_digest(rows: DataFrame, column: str) -> DataFrame:
+    """One row: the digest of the sorted distinct lines, each ended by a line feed. The list is that of a hold-out, so it fits one row."""
+    return rows.agg(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_set(column)), "\n"), F.lit("\n")), 256).alias("digest"))
+
+
+def response_coverage(cases: DataFrame, responses: DataFrame, key: str) -> DataFrame:
+    """(key, problem): cases without a response, and responses without a case."""
+    both = cases.select(key, F.lit(True).alias("c")).join(responses.select(key, F.lit(True).alias("r")).distinct(), key, "full")
+    return both.where("c is null or r is null").select(key, F.when(F.col("c").isNull(), "unexpected").otherwise("missing").alias("problem"))
