@@ -294,7 +294,7 @@ def crop_boxes(spark, sf_dir):
 def targeted_sample(spark, sf_dir):
     known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(known, "doc_id", "left")
-    return sampling.round_robin(rows, F.coalesce(F.col("quality") == 0, F.lit(False)), F.concat_ws("/", "lang", "source"), "doc_id", 100, "p").select("doc_id", "tier", "stratum", "rank")
+    return sampling.round_robin(rows, F.coalesce(F.col("quality") == 0, F.lit(False)), F.concat_ws("/", "lang", "source"), "doc_id", 100, "p").select("doc_id", "tier", "stratum", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -342,4 +342,4 @@ def image_complete_scan(spark, sf_dir):
     rows = annotations(spark, sf_dir)
     numbered = etl.renumber(rows.select("image_id").distinct(), ["image_id"], "k").where("k between 11 and 40").select("image_id")
     place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "ann_id"))
-    return rows.join(numbered, "image_id", "left_semi").select("image_id", "ann_id", place.alias("place"))
+    return rows.join(numbered, "image_id", "left_semi").select("image_id", "ann_id", place.cast("long").alias("place"))
