@@ -20,24 +20,29 @@ from annoquery.llm.shared import staged, without
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identifiable language go: null, empty and wordless texts, and those below the least probability. Repeated rows are judged each; extra columns stay."""
     rejected = identify(document_items(docs)).where("not kept").select(F.col("id").alias("doc_id"))
     return without(docs, rejected)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest ``doc_id`` of each group stays. Null and empty texts are groups of their own; rows that repeat a ``doc_id`` stay or go together."""
     return without(docs, similarity_classes(docs).where("class_id <> doc_id").select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a leak go. Null and empty texts and an empty benchmark match nothing; rows that repeat a ``doc_id`` go together."""
     return without(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts are rewritten, null and empty ones stay as they are; ``n_chars`` follows where it is there."""
     out = replace_entities(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in a sequence; a null or empty text is the end id alone."""
     return pack(docs, word_tokenizer())
 
 
@@ -49,7 +54,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can express neither the shingle join on whole tables in reasonable time nor tokenization. No test of the whole pipeline stands in yet.
+#: SQL can express neither the shingle join on whole tables in reasonable time nor tokenization; tests/llm/test_pipeline.py holds each stage against planted cases.
 ORACLE_SQL = None
 
 
