@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.views import checkpointed
+
 
 def map_category(rows: DataFrame, taxonomy: dict[str, str], ambiguous: set[str], parts: set[str]) -> DataFrame:
     """Adds ``target`` (null if unmapped) and ``reason`` (why a row is not mapped). The taxonomy is a fixed small table."""
@@ -38,14 +40,15 @@ def first_images_per_class(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("category", "image_id").distinct().withColumn("rn", rank).where(F.col("rn") <= n).select("image_id").distinct()
 
 
-def renumber(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+def renumber(rows: DataFrame, order: list, name: str) -> DataFrame:
     """Dense numbers 1..n in a global order without one task seeing all rows.
 
-    Rows are range-partitioned and numbered inside each partition; per-partition counts give the offsets.
+    Rows are range-partitioned, sorted and checkpointed with their place in the partition, so a recomputed task can't
+    draw other ranges; per-partition counts give the offsets. Columns may be names or expressions.
     """
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inside = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = inside.groupBy("_part").agg(F.count("*").alias("_n"))
+    place = F.monotonically_increasing_id()  # partition in the upper 31 bits, row in the lower 33
+    kept = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place))
+    kept = kept.select(*rows.columns, F.shiftright("_place", 33).alias("_part"), F.col("_place").bitwiseAND((1 << 33) - 1).alias("_row"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return inside.join(offsets, "_part").withColumn(name, F.col("_offset") + F.col("_rn")).drop("_part", "_rn", "_offset")
+    offsets = kept.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_row") + 1).drop("_part", "_row", "_offset")

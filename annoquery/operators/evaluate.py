@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import box
 from ..functions.text import percent
+from .etl import renumber
 
 
 def prefixed(rows: DataFrame, prefix: str, keep: tuple[str, ...] = ("image_id", "category")) -> DataFrame:
@@ -84,13 +85,20 @@ def operating_points(predictions: DataFrame, truth: DataFrame, thresholds: list[
 
 
 def average_precision(predictions: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
-    """101-point interpolated AP per category, from score-ordered cumulative precision; 0 without predictions, null without targets."""
-    hits = matches.select("pred_id", F.lit(1).alias("tp"))
-    ranked = predictions.join(hits, "pred_id", "left").select("category", "score", "pred_id", F.coalesce("tp", F.lit(0)).alias("tp"))
-    order = Window.partitionBy("category").orderBy(F.desc("score"), "pred_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """101-point interpolated AP per category, from score-ordered cumulative precision; 0 without predictions, null without targets.
+
+    Places in the order come from range partitions, so no task sees a whole category.
+    """
+    hits = matches.select("pred_id", F.lit(True).alias("hit"))
+    order = ["category", F.desc("score"), "pred_id"]
+    ranked = renumber(predictions.select("category", "score", "pred_id"), order, "seen").join(hits, "pred_id", "left")
+    started = ranked.groupBy("category").agg((F.min("seen") - 1).alias("earlier"))
+    found = renumber(ranked.where("hit"), ["seen"], "tps")  # precision is highest at hits, so the curve needs no other rows
+    skipped = found.groupBy("category").agg((F.min("tps") - 1).alias("skipped"))
     n = truth.groupBy("category").agg(F.count("*").alias("gt"))
-    curve = ranked.withColumn("tps", F.sum("tp").over(order)).withColumn("seen", F.count("*").over(order)).join(n, "category")
-    curve = curve.select("category", "gt", (F.col("tps") / F.col("seen")).alias("precision"), F.floor(F.col("tps") * 100 / F.col("gt")).alias("reach"))
+    curve = found.join(started, "category").join(skipped, "category").join(n, "category")
+    tps, seen = F.col("tps") - F.col("skipped"), F.col("seen") - F.col("earlier")
+    curve = curve.select("category", "gt", (tps / seen).alias("precision"), F.floor(tps * 100 / F.col("gt")).alias("reach"))
     best = curve.groupBy("category", "gt", "reach").agg(F.max("precision").alias("precision"))  # at most 101 rows a category
     right = Window.partitionBy("category").orderBy(F.desc("reach")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = best.withColumn("envelope", F.max("precision").over(right))

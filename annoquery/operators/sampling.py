@@ -32,7 +32,9 @@ def balanced_subset(rows: DataFrame, stratum: Column, key: str, total: int, seed
     """About equal numbers from every stratum, ``total`` rows in all: the first ones by hash."""
     rows = rows.withColumn("stratum", stratum)
     quotas = water_fill(rows.groupBy("stratum").agg(F.count("*").alias("n")), total)
-    return hashed_order(rows, ["stratum"], seed, key).join(F.broadcast(quotas.select("stratum", "quota")), "stratum").where(F.col("rank") <= F.col("quota"))  # one row a stratum
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64)))  # no task orders a whole stratum: each salt keeps its first rows
+    first = hashed_order(salted, ["stratum", "_salt"], seed, key).where(F.col("rank") <= total).drop("rank", "_salt")
+    return hashed_order(first, ["stratum"], seed, key).join(quotas.select("stratum", "quota"), "stratum").where(F.col("rank") <= F.col("quota"))
 
 
 def round_robin(rows: DataFrame, tier: Column, stratum: Column, key: str, limit: int, seed: str) -> DataFrame:

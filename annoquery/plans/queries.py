@@ -173,10 +173,10 @@ def leftmost_regions(spark, sf_dir):
     return rows.where("rn = 1 and nxt - cx >= 200 * 0.05").select("image_id", "category", F.col("ann_id").alias("leftmost"))
 
 
-@query(f"WITH {SQL}, p AS (SELECT p.image_id, pred_id, ann_id, greatest(0, least(p.x1, g.x1) - greatest(p.x0, g.x0)) * greatest(0, least(p.y1, g.y1) - greatest(p.y0, g.y0)) AS i, (p.x1 - p.x0) * (p.y1 - p.y0) + (g.x1 - g.x0) * (g.y1 - g.y0) AS s FROM v_pred p JOIN v_ann g ON p.image_id = g.image_id AND g.line = 1) SELECT image_id, pred_id, ann_id, round(i / (s - i), 9) AS iou FROM p WHERE i > 0")
+@query(f"WITH {SQL}, p AS (SELECT p.image_id, pred_id, ann_id, greatest(0, least(p.x1, g.x1) - greatest(p.x0, g.x0)) * greatest(0, least(p.y1, g.y1) - greatest(p.y0, g.y0)) AS i, (p.x1 - p.x0) * (p.y1 - p.y0) + (g.x1 - g.x0) * (g.y1 - g.y0) AS s FROM v_pred p JOIN v_ann g ON p.image_id = g.image_id) SELECT image_id, pred_id, ann_id, round(i / (s - i), 9) AS iou FROM p WHERE i > 0")
 def mask_iou_pairs(spark, sf_dir):
     left = masks.rectangle_runs(predictions(spark, sf_dir), "pred_id")
-    right = masks.rectangle_runs(annotations(spark, sf_dir).where("line = 1"), "ann_id")
+    right = masks.rectangle_runs(annotations(spark, sf_dir), "ann_id")
     return masks.mask_iou(left, right, "pred_id", "ann_id")
 
 
@@ -464,7 +464,7 @@ def case_report(spark, sf_dir):
     return reports.case_report(_outcomes(spark, sf_dir), {"status": F.array("status"), "dimension": F.when(F.col("expected").isNotNull(), several)})
 
 
-_FIRST = f"""WITH {SQL}, t AS (SELECT * FROM v_ann WHERE line <= 2), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pred_id) AS rn FROM v_pred) WHERE rn = 1),
+_FIRST = f"""WITH {SQL}, t AS (SELECT * FROM v_ann), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pred_id) AS rn FROM v_pred) WHERE rn = 1),
     px AS (SELECT DISTINCT image_id, x, unnest(generate_series(y0::INT, y1::INT - 1)) AS y FROM (SELECT image_id, y0, y1, unnest(generate_series(x0::INT, x1::INT - 1)) AS x FROM t)),
     u AS (SELECT image_id, count(*) AS area, count(*) FILTER (x >= x0 AND x < x1 AND y >= y0 AND y < y1) AS common, any_value((x1 - x0) * (y1 - y0)) AS own FROM px LEFT JOIN top USING (image_id) GROUP BY 1),
     o AS (SELECT image_id, n.targets, coalesce(r.regions, 0) AS regions, coalesce(round(common / (area + own - common), 9), 0.0) AS iou, coalesce(round(common / (area + own - common), 9), 0.0) > 0.5 AS passed
@@ -473,7 +473,7 @@ _FIRST = f"""WITH {SQL}, t AS (SELECT * FROM v_ann WHERE line <= 2), top AS (SEL
 
 @query(_FIRST + " SELECT image_id, targets, regions, iou, passed FROM o")
 def first_region_outcomes(spark, sf_dir):
-    return reports.first_region_outcomes(annotations(spark, sf_dir).where("line <= 2"), predictions(spark, sf_dir))
+    return reports.first_region_outcomes(annotations(spark, sf_dir), predictions(spark, sf_dir))
 
 
 @query(
@@ -482,7 +482,7 @@ def first_region_outcomes(spark, sf_dir):
     SELECT axis, value, count(*) AS cases, count(*) FILTER (passed) AS passed, round(100.0 * ((count(*) FILTER (passed))::DOUBLE / count(*)), 6) AS accuracy, round(100 * avg(iou), 6) AS mean_iou FROM a GROUP BY 1, 2"""
 )
 def acceptance_report(spark, sf_dir):
-    rows = reports.first_region_outcomes(annotations(spark, sf_dir).where("line <= 2"), predictions(spark, sf_dir))
+    rows = reports.first_region_outcomes(annotations(spark, sf_dir), predictions(spark, sf_dir))
     return reports.acceptance_report(rows, {"cardinality": F.array(F.when(F.col("targets") > 1, "several").otherwise("one")), "novelty": F.array(F.expr("image_id % 2"))})
 
 
@@ -511,14 +511,14 @@ def macro_recall(spark, sf_dir):
 @query(
     f"""WITH {SQL}, c AS (SELECT * FROM (SELECT image_id, greatest(0, x0) AS x0, greatest(0, y0) AS y0, least(200, x1) AS x1, least(200, y1) AS y1, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, pred_id) AS rank FROM v_pred) JOIN (VALUES (1), (3)) t(k) ON rank <= k WHERE x1 > x0 AND y1 > y0),
     px AS (SELECT DISTINCT image_id, k, x, unnest(generate_series(y0::INT, y1::INT - 1)) AS y FROM (SELECT image_id, k, y0, y1, unnest(generate_series(x0::INT, x1::INT - 1)) AS x FROM c)),
-    a AS (SELECT image_id, k, any_value(g.area) AS target, count(*) AS area, count(*) FILTER (x >= g.x0 AND x < g.x1 AND y >= g.y0 AND y < g.y1) AS common FROM px JOIN (SELECT * FROM v_ann WHERE line = 1) g USING (image_id) GROUP BY 1, 2),
+    a AS (SELECT g.ann_id, k, any_value(g.area) AS target, count(*) AS area, count(*) FILTER (x >= g.x0 AND x < g.x1 AND y >= g.y0 AND y < g.y1) AS common FROM px JOIN v_ann g USING (image_id) GROUP BY 1, 2),
     o AS (SELECT k, round(common / target, 9) AS coverage, round(area / 40000, 9) AS crop_area FROM a)
     SELECT k, count(*) AS targets, round(100.0 * ((count(*) FILTER (coverage >= 0.5))::DOUBLE / count(*)), 6) AS c50, round(100.0 * ((count(*) FILTER (coverage >= 0.9))::DOUBLE / count(*)), 6) AS c90, round(100 * avg(crop_area), 6) AS mean_crop_area FROM o GROUP BY 1"""
 )
 def crop_coverage(spark, sf_dir):
     clipped = [F.greatest(F.lit(0.0), c).alias(c) for c in ("x0", "y0")] + [F.least(F.lit(200.0), c).alias(c) for c in ("x1", "y1")]
     crops = evaluate.top_k(predictions(spark, sf_dir), 3, ("image_id",)).select("image_id", "rank", *clipped).where("x1 > x0 and y1 > y0")
-    return reports.coverage_summary(reports.crop_coverage(annotations(spark, sf_dir).where("line = 1"), crops, [1, 3], 200 * 200))
+    return reports.coverage_summary(reports.crop_coverage(annotations(spark, sf_dir), crops, [1, 3], 200 * 200))
 
 
 from . import more_queries  # noqa: E402,F401  registers the rest
