@@ -5,15 +5,18 @@ among its ``gram``-word runs, so equal windows share it, and neighbouring window
 the index several times smaller than one of all windows.
 
 The index is a folder: immutable runs (fingerprint, number of documents), each bucketed and sorted by fingerprint, the
-postings (document, fingerprint) they were made of, and a manifest. A batch of documents becomes a new run, which is
+postings (document, fingerprint) they were made of, and a manifest to which every change adds a version. A batch of documents becomes a new run, which is
 merge-joined with every older run, without a shuffle as all have the same buckets; what they share, and what several documents of
-the batch share, are the candidates. When there are too many runs, they are merged into one. Postings lead from the
+the batch share, are the candidates. When there are too many runs, those of about the newest one's size or less are merged with it. Postings lead from the
 candidates to documents, older ones too, whose windows are then *verified*: whole word sequences are compared by
 96 hashed bits, and the smallest ``doc_id`` of each sequence keeps it. Batches come in ascending ``doc_id`` order.
 
 Hot fingerprints and windows: counts combine before their shuffle. Of n rows at most n / t keys have t rows or
 more, so the keys above such a t fit a broadcast of proven size; rows of these keys are joined where they are, the rest by shuffle.
 
+Calls that are cut off: files are written before the version of the manifest that names them, and runs that it no longer names are emptied after it.
+Until its version is whole, a call has added nothing, and can be made again.
+
 Empty cases: a null or empty text has no words; a text shorter than a window keeps all words; an empty table gives
 no rows. A row without ``doc_id`` keeps all its words. Rows that repeat a ``doc_id`` are judged each by its own text;
 windows that two such rows share do not count as earlier ones.
@@ -33,6 +36,7 @@ from .shared import WHILE_WRITING, hashed_words, in_groups, release, rolled, set
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 POSTINGS = "doc_id long, text_hash long, mark long"
+MANIFEST = "version long, place int, parts int, run string, buckets int, n long, postings string"
 #: A bucket of one file is read in its order, so merge joins of runs need no sort.
 SORTED_RUNS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
@@ -86,32 +90,46 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
 class FingerprintIndex:
     """Runs and postings of the documents added so far, in one folder that later sessions can open again."""
 
-    def __init__(self, spark: SparkSession, path: str, runs: list[tuple[str, int]] = (), postings: list[str] = (), most_runs: int = 2):
-        self.spark, self.path, self.most_runs = spark, path, most_runs
-        self.runs, self.folders = list(runs), list(postings)  # runs: folder and number of buckets
+    def __init__(self, spark: SparkSession, path: str, runs: list[tuple[str, int, int]] = (), postings: list[str] = (), most_runs: int = 2, version: int = 0):
+        self.spark, self.path, self.most_runs, self.version = spark, path, most_runs, version
+        self.runs, self.folders = list(runs), list(postings)  # runs: folder, number of buckets, rows
+        self.dead: list[tuple[str, int, int]] = []  # merged runs that the last version may still name
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "FingerprintIndex":
-        rows = spark.read.schema("run string, buckets int, postings string").json(f"{path}/manifest").collect()  # one row for each run or call
-        return cls(spark, path, [(r["run"], r["buckets"]) for r in rows if r["run"]], [r["postings"] for r in rows if r["postings"]])
-
-    def _table(self, run: tuple[str, int]) -> DataFrame:
+        """The index as its newest whole version names it."""
+        rows = spark.read.schema(MANIFEST).json(f"{path}/manifest").orderBy("version", "place")  # a row for each run and call, and each version
+        versions: dict[int, list] = {}
+        for r in rows.collect():
+            versions.setdefault(r["version"], []).append(r)
+        newest = max(v for v, own in versions.items() if len(own) == own[0]["parts"])
+        own = versions[newest]
+        return cls(spark, path, [(r["run"], r["buckets"], r["n"]) for r in own if r["run"]], [r["postings"] for r in own if r["postings"]], version=newest)
+
+    def _table(self, run: tuple[str, int, int]) -> DataFrame:
         """A run as a table that knows its buckets and order."""
         name = "run_" + run[0].rpartition("-")[2]
         if not self.spark.catalog.tableExists(name):
             self.spark.sql(f"CREATE TABLE {name} (mark BIGINT, n BIGINT) USING parquet CLUSTERED BY (mark) SORTED BY (mark) INTO {run[1]} BUCKETS LOCATION '{run[0]}'")
         return self.spark.table(name)
 
-    def _write(self, rows: DataFrame, buckets: int) -> tuple[str, int]:
+    def _write(self, rows: DataFrame, buckets: int) -> tuple[str, int, int]:
         name = uuid.uuid4().hex
-        run = (f"{self.path}/run-{name}", buckets)
+        folder = f"{self.path}/run-{name}"
         with settings(self.spark, WHILE_WRITING | SORTED_RUNS):
-            rows.select("mark", "n").write.bucketBy(buckets, "mark").sortBy("mark").option("path", run[0]).saveAsTable(f"run_{name}")
-        return run
+            rows.select("mark", "n").write.bucketBy(buckets, "mark").sortBy("mark").option("path", folder).saveAsTable(f"run_{name}")
+        return folder, buckets, self.spark.table(f"run_{name}").count()
 
     def _save(self) -> None:
-        rows = [(r, n, None) for r, n in self.runs] + [(None, None, b) for b in self.folders]
-        self.spark.createDataFrame(rows, "run string, buckets int, postings string").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest")
+        """Add a version to the manifest in one commit, then drop the runs that it no longer names."""
+        self.version += 1
+        named = [(r, buckets, n, None) for r, buckets, n in self.runs] + [(None, None, None, b) for b in self.folders]
+        rows = [(self.version, place, len(named), *row) for place, row in enumerate(named)]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        dead, self.dead = self.dead, []
+        for run in dead:
+            release(self._table(run))
+            self.spark.sql(f"DROP TABLE run_{run[0].rpartition('-')[2]}")
 
     def postings(self) -> DataFrame:
         parts = [self.spark.read.schema(f"{POSTINGS}, batch int").parquet(folder).drop("batch") for folder in self.folders]
@@ -152,18 +170,19 @@ class FingerprintIndex:
             self.compact()
         return shared
 
-    def compact(self) -> None:
-        """Merge all runs into one, bucket by bucket."""
+    def compact(self, factor: int = 4) -> None:
+        """Merge the newest runs into one, bucket by bucket: as many as have at most ``factor`` times the rows of those after them, two at least."""
         if len(self.runs) < 2:
             return
-        tables = [self._table(r) for r in self.runs]
-        whole = tables[0]
-        for other in tables[1:]:
-            whole = merged(whole, other, "full")
-        old, self.runs = self.runs, [self._write(whole, self.runs[0][1])]
-        for (folder, _), table in zip(old, tables):
-            release(table)
-            self.spark.sql(f"DROP TABLE run_{folder.rpartition('-')[2]}")
+        first, size = len(self.runs) - 2, self.runs[-1][2] + self.runs[-2][2]
+        while first and self.runs[first - 1][2] <= factor * size:
+            first, size = first - 1, size + self.runs[first - 1][2]
+        merging, kept = self.runs[first:], self.runs[:first]
+        whole = self._table(merging[0])
+        for other in merging[1:]:
+            whole = merged(whole, self._table(other), "full")
+        self.runs = [*kept, self._write(whole, merging[0][1])]
+        self.dead += merging
 
 
 def merged(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -225,17 +244,20 @@ def _verified_windows(docs: DataFrame, hits: DataFrame, window: int, gram: int)
     )
 
 
-def repeated_windows(docs: DataFrame, index: FingerprintIndex, earlier: DataFrame | None = None, window: int = 13, gram: int = 4, batches: int = 3) -> DataFrame:
+def repeated_windows(docs: DataFrame, index: FingerprintIndex, earlier: DataFrame | None = None, window: int = 13, gram: int = 4, batches: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, text_hash, pos) of the windows whose words also start a window in a document of smaller ``doc_id``.
 
-    ``docs`` and ``earlier`` have doc_id, text_hash and text; ``earlier`` are the documents that the index knows already. New documents
+    ``docs`` have doc_id, text_hash and text, ``earlier``, the documents that the index knows already, doc_id and text. New documents
     enter it in ``batches`` ranges of ``doc_id``.
     """
     places = [i / batches for i in range(1, batches)]
     cuts = docs.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", places, 0.01) if places else []
     candidates = index.add(fingerprints(docs, window, gram), sorted({int(c) for c in cuts}))
     hits = staged(_join_counted(index.postings(), candidates, ["mark"], over=batches + index.most_runs), "hits")
-    everything = docs if earlier is None else docs.unionAll(earlier)
+    everything = docs
+    if earlier is not None:  # only texts of documents with candidates are read
+        wanted = hits.select("doc_id").distinct()
+        everything = docs.unionAll(earlier.join(F.broadcast(wanted) if hits.count() <= broadcast_rows else wanted, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("text_hash"), "text"))
     found = staged(_verified_windows(everything, hits, window, gram), "windows")
     release(hits)
     sequences = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
@@ -264,13 +286,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 4, batches: in
     broadcast of their ids while there are at most ``broadcast_rows`` (16 bytes each), by a shuffled join beyond.
     """
     spark = docs.sparkSession
-    keyed, before = (d if d is None else d.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text") for d in (docs, earlier))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    before = earlier if earlier is None else earlier.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     copies = later_copies(keyed)
     few = copies.count() <= broadcast_rows
     others = keyed.join(F.broadcast(copies) if few else copies, ["doc_id", "text_hash"], "left_anti")
     folder = index or f"{shared_dir(spark)}/annoquery/index-{uuid.uuid4().hex}"
     stored = FingerprintIndex(spark, folder) if earlier is None else FingerprintIndex.open(spark, folder)
-    repeats = repeated_windows(others, stored, before, window, gram, batches)
+    repeats = repeated_windows(others, stored, before, window, gram, batches, broadcast_rows)
     starts = repeats.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("starts"))
     per_doc = starts.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "text_hash", F.array().cast("array<int>"), F.lit(True)))
 
