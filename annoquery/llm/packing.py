@@ -6,6 +6,7 @@ Multiplicative weights solve it: in each round a length's price falls with its c
 configurations, and the best one through each open length is used as far as its scarcest length allows. No length is covered beyond its
 need, so the solution is feasible. Tokens / ``capacity`` is the dual bound that it is held against. The fractional solution is rounded by running sums, which keep
 the total; what rounding leaves goes through the same program in whole steps, and the last few pieces through best fit decreasing.
+Where best fit decreasing alone needs fewer sequences, its plan is taken, so the result is never worse than it.
 The plan (a table of length, rank range, sequence range and offset) then places every piece by its rank among pieces of its length;
 ranks come from per-task counts, so no length is gathered in one task.
 
@@ -154,6 +155,9 @@ def plan_sequences(histogram: dict[int, int], capacity: int = 2048) -> tuple[lis
     pieces = sum(histogram.values())
     figures = {"bound": -(-sum(n * c for n, c in histogram.items()) // capacity), "fractional": value, "by_program": 1 - sum(left.values()) / max(1, pieces)}
     out += best_fit_decreasing(left, capacity)
+    plain = best_fit_decreasing(histogram, capacity)
+    if sum(times for _, times in plain) < sum(times for _, times in out):  # rounding can lose more than the program gains
+        out, figures["by_program"] = plain, 0.0
     return out, figures | {"sequences": sum(times for _, times in out)}
 
 
