@@ -207,6 +207,10 @@ def _checked(text: str, kind: str, start: int, word: str) -> bool:
     return kind != "ip" or not _NO_ADDRESS.search(text, max(0, start - 12), start)
 
 
+def _unspaced(name: str) -> bool:
+    return any(_script(c) in ("han", "kana", "hangul") or "\u0e00" <= c <= "\u0eff" for c in name)
+
+
 def mentions(text: str) -> list[tuple[str, str, int, int, str]]:
     """(kind, gender, start, end, canonical form) of every entity mention, left to right."""
     out, persons = [], {}
@@ -232,7 +236,9 @@ def mentions(text: str) -> list[tuple[str, str, int, int, str]]:
             known[family] = (name, gender)
     taken = sorted((start, end) for _, _, start, end, _ in out)
     out = [(k, known[e][1], a, b, known[e][0]) if k == "person" else (k, g, a, b, e) for k, g, a, b, e in out]
-    for found in re.finditer(r"(?<!\w)(?:" + "|".join(re.escape(n) for n in sorted(known, key=len, reverse=True) if len(n) > 2) + r")(?!\w)", text) if any(len(n) > 2 for n in known) else ():
+    # scripts without spaces have no word edges; a single letter of another script is too common a word
+    whole = [re.escape(n) if _unspaced(n) else rf"(?<!\w){re.escape(n)}(?!\w)" for n in sorted(known, key=len, reverse=True) if len(n) > 1 or n > "\u024f"]
+    for found in re.finditer("|".join(whole), text) if whole else ():
         if not any(a < found.end() and found.start() < b for a, b in taken):
             name, gender = known[found[0]]
             out.append(("person", gender, found.start(), found.end(), name))
