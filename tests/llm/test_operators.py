@@ -138,6 +138,32 @@ def test_substring_in_batches(spark, docs, tmp_path):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+@pytest.mark.parametrize("at", ["_save", "release", "_write"])
+def test_index_survives_a_lost_driver(spark, docs, rows, tmp_path, monkeypatch, at):
+    """A third call that ends inside compaction, before or after the manifest, leaves an index with which the call can be made again."""
+    texts = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    whole = sorted(map(tuple, substring.remove_repeats(texts, 5, 2, batches=1).drop("kept_text").collect()))
+    parts, index, before = [], str(tmp_path / "index"), None
+    for i, batch in enumerate((texts.where("doc_id < 15"), texts.where("doc_id between 15 and 30"), texts.where("doc_id > 30"))):
+        call = lambda: substring.remove_repeats(batch, 5, 2, batches=1, index=index, earlier=before).drop("kept_text").collect()  # noqa: E731, B023
+        if i == 2:
+            with monkeypatch.context() as broken:
+                real, made = substring.FingerprintIndex._write, []
+                if at == "_write":  # the merged run is written, then the driver is lost
+                    broken.setattr(substring.FingerprintIndex, "_write", lambda *a: made.append(real(*a)) or (made[-1] if len(made) < 2 else 1 / 0))
+                else:
+                    broken.setattr(substring.FingerprintIndex if at == "_save" else substring, at, lambda *a: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    call()
+            stored = substring.FingerprintIndex.open(spark, index)
+            assert all(spark.read.parquet(folder).count() == n > 0 for folder, _, n in stored.runs)
+            if at == "release" and stored.version == 3:  # the call had been made
+                continue
+        parts += call()
+        before = batch if before is None else before.unionAll(batch)
+    assert sorted(map(tuple, parts)) == (whole if len(parts) == len(whole) else [r for r in whole if r[0] <= 30])
+
+
 def test_jaccard(docs, empty, rows):
     found = {r["doc_id"]: r for r in jaccard.similarity_classes(docs, recall=0.999).collect() if r["doc_id"] not in (2, None)}
     sets = {}
@@ -400,3 +426,21 @@ def test_components(spark):
 
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 30), (30, 31), (8, 4)], "u long, v long")
     assert {tuple(r) for r in components(edges).collect()} == {(n, 1) for n in (1, 2, 3, 30, 31)} | {(n, 4) for n in (4, 8, 9)}
+
+
+@pytest.mark.parametrize("text, again", [("Frau 王明 ging, 王明 kam.", "王明"), ("Mr Li Wu met us; Wu left.", "Wu"), ("Herr 王小明 kam. 昨天王小明来了", "王小明")])
+def test_short_and_unspaced_names_are_found_again(text, again):
+    found = pii.mentions(text)
+    assert sum(text[a:b].endswith(again) for _, _, a, b, _ in found) == 2 and len({e for *_, e in found}) == 1
+
+
+def test_packing_is_never_worse_than_best_fit_decreasing():
+    draw = random.Random(1)
+    for _ in range(20):
+        histogram = {draw.randint(1, 2048): draw.randint(1, 9) for _ in range(draw.randint(1, 300))}
+        plan, figures = packing.plan_sequences(histogram)
+        assert figures["sequences"] == sum(t for _, t in plan) <= sum(t for _, t in packing.best_fit_decreasing(histogram))
+        held = collections.Counter()
+        for contents, times in plan:
+            held.update({n: k * times for n, k in contents.items()})
+        assert held == histogram
