@@ -8,6 +8,8 @@ from itertools import pairwise
 
 import numpy as np
 
+from .shared import _Slots
+
 _SPACE = "Ġ"  # how byte-level vocabularies write a leading space
 #: How byte-level BPE splits a text (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,8 +50,7 @@ class ByteTextEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.slots = _Slots()
         self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, text: str) -> list[int]:
@@ -57,42 +58,41 @@ class ByteTextEncoder:
             return self.quick.encode_ordinary(text)
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks; a key that ends in a space is the first chunk of a text. Length -1: a chunk that no clean cut gives."""
-        clean = [c for c in chunks if c[-1:] not in ("", " ") and not c[0].isspace() and not c[-1].isspace()]
-        first = [c for c in chunks if c[-1:] == " " and len(c) > 1 and not c[0].isspace() and not c[-2].isspace()]
-        known = {*clean, *first}
-        order = [*clean, *first, *(c for c in chunks if c not in known)]
-        flat, lengths = np.zeros(0, np.uint32), np.full(len(order), -1, np.int64)
+    def _learn(self) -> None:
+        """Encode queued chunks; a key that ends in a space is the first chunk of a text. Length -1: a chunk that no clean cut gives."""
+        queued, self.slots.queued = self.slots.queued, []
+        if not queued:
+            return
+        clean = [i for i, c in enumerate(queued) if c[-1:] not in ("", " ") and not c[0].isspace() and not c[-1].isspace()]
+        first = [i for i, c in enumerate(queued) if c[-1:] == " " and len(c) > 1 and not c[0].isspace() and not c[-2].isspace()]
+        flat, lengths, starts = np.zeros(0, np.uint32), np.full(len(queued), -1, np.int64), np.zeros(len(queued), np.int64)
         if clean:
-            flat = np.asarray(self._ids(" " + " ".join(clean)), np.uint32)
+            flat = np.asarray(self._ids(" " + " ".join([queued[i] for i in clean])), np.uint32)
             edges = np.flatnonzero(np.append(self.begins[flat], True))
             if len(edges) != len(clean) + 1 or edges[0]:
                 raise ValueError("the vocabulary does not mark leading spaces")
-            lengths[: len(clean)] = np.diff(edges)
+            lengths[clean], starts[clean] = np.diff(edges), edges[:-1]
         if first:
-            own = [self._ids(c[:-1]) for c in first]
-            lengths[len(clean) : len(known)] = list(map(len, own))
+            own = [self._ids(queued[i][:-1]) for i in first]
+            lengths[first] = size = np.array(list(map(len, own)))
+            starts[first] = len(flat) + np.cumsum(size) - size
             flat = np.concatenate([flat, np.fromiter((i for ids in own for i in ids), np.uint32)])
-        size = np.maximum(lengths, 0)
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.start = np.concatenate([self.start, len(self.ids) + starts])
         self.length = np.concatenate([self.length, lengths])
         self.ids = np.concatenate([self.ids, flat])
-        self.slots.update(zip(order, range(len(self.slots), len(self.slots) + len(order))))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text; null and empty texts give empty arrays."""
-        if len(self.slots) > self.most:
+        if self.slots.total > self.most:
             self.clear()
-        cut = []
+        slot, cut = self.slots.__getitem__, []
         for text in texts:
             chunks = (text or "").split(" ")
             chunks[0] += " "
-            cut.append(chunks)
-        self._learn(list({c for chunks in cut for c in chunks} - self.slots.keys()))
+            cut.append(np.fromiter(map(slot, chunks), np.int64, len(chunks)))
+        self._learn()
         out = []
-        for text, chunks in zip(texts, cut):
-            at = np.fromiter(map(self.slots.__getitem__, chunks), np.int64, len(chunks))
+        for text, at in zip(texts, cut):
             lengths = self.length[at]
             if lengths.min() < 0:
                 out.append(np.asarray(self._ids(text) if text else [], np.uint32))

@@ -61,7 +61,6 @@ def cut_pieces(docs: DataFrame, tokenizer: str, longest: int, end_id: int) -> Da
                     names = ("part", "slot", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
         finally:
-            table.clear()  # workers serve many tasks
             pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
