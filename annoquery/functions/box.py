@@ -36,7 +36,7 @@ def grown(p: str, ratio: float, width: float, height: float) -> list[Column]:
 
 
 def letterbox(width: Column, height: Column, size: int) -> Column:
-    """Struct of scale, scaled size and padding that centre an image in a square."""
+    """Struct of scale, scaled size (1 to ``size`` pixels a side) and padding that centre an image in a square."""
     scale = F.least(F.lit(float(size)) / width, F.lit(float(size)) / height)
-    w, h = F.bround(width * scale).cast("int"), F.bround(height * scale).cast("int")
+    w, h = (F.greatest(F.lit(1), F.least(F.lit(size), F.bround(side * scale).cast("int"))) for side in (width, height))
     return F.struct(F.round(scale, 9).alias("scale"), w.alias("width"), h.alias("height"), F.floor((size - w) / 2).cast("int").alias("pad_x"), F.floor((size - h) / 2).cast("int").alias("pad_y"))

@@ -29,9 +29,9 @@ DIRECTIONS = {
 MODIFIERS = {"left": ["左侧", "左边", "左方", "left"], "right": ["右侧", "右边", "右方", "right"], "upper": ["上方", "上部", "上边", "upper"], "lower": ["下方", "下部", "下边", "lower"]}
 
 
-def _names(text: Column, terms: list[str]) -> Column:
-    """Whether a text has one of the terms: English ones as whole words, Chinese ones anywhere."""
-    return text.rlike("|".join(f"(?<![a-z]){t}(?![a-z])" if t.isascii() else t for t in terms))
+def _names(text: Column, terms: list[str], edge: str = "(?<![a-z]){}(?![a-z])") -> Column:
+    """Whether a text has one of the terms: English ones between edges, Chinese ones anywhere."""
+    return text.rlike("|".join(edge.format(t) if t.isascii() else t for t in terms))
 
 
 def directions(query: Column | str) -> Column:
@@ -42,15 +42,20 @@ def directions(query: Column | str) -> Column:
 
 
 def spatial_modifier(query: Column | str) -> Column:
-    """The one modifier an expression names; null if none or several."""
+    """The one modifier an expression names, English ones as whole words; null if none or several."""
     low = F.lower(normalized(query))
-    named = F.array_compact(F.array(*[F.when(_names(low, terms), F.lit(name)) for name, terms in MODIFIERS.items()]))
+    named = F.array_compact(F.array(*[F.when(_names(low, terms, r"(?U)\b{}\b"), F.lit(name)) for name, terms in MODIFIERS.items()]))
     return F.when(F.size(named) == 1, F.get(named, F.lit(0)))
 
 
 def fingerprint(*columns: Column | str) -> Column:
-    """SHA-256 of a record as compact JSON with its fields in name order; missing fields are left out."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+    """SHA-256 of a record as compact JSON with its fields, and those of structs and arrays inside, in name order; missing fields are null."""
+    return F.sha2(_canonical(F.struct(*columns)), 256)
+
+
+def _canonical(record: Column) -> Column:
+    """Compact JSON with the keys of every object in order: through a variant, whose objects keep their fields by name."""
+    return F.to_json(F.to_variant_object(record))
 
 
 def calibrated(score: Column, scale: float, bias: float) -> Column:

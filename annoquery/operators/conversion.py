@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .etl import renumber
@@ -10,8 +10,9 @@ from .etl import renumber
 
 def valid_xywh(box: Column) -> Column:
     """The box as doubles if it has four numbers and a positive size, else null."""
-    ok = (F.size(box) == 4) & ~F.exists(box, lambda v: v.isNull()) & (F.get(box, F.lit(2)) > 0) & (F.get(box, F.lit(3)) > 0)
-    return F.when(ok, box.cast("array<double>"))
+    numbers = F.transform(box, lambda v: v.try_cast("double"))
+    ok = (F.size(box) == 4) & ~F.exists(numbers, lambda v: v.isNull()) & (F.get(numbers, F.lit(2)) > 0) & (F.get(numbers, F.lit(3)) > 0)
+    return F.when(ok, numbers)
 
 
 def xyxy_to_xywh(box: Column) -> Column:
@@ -127,6 +128,6 @@ def epoch_batches(ids: DataFrame, key: str, epochs: int, batch: int, seed: str)
     """(epoch, batch, key): every epoch holds each id once, in an order of its own; the numbering is without one task for all ids."""
     rows = ids.select(key, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     rows = rows.withColumn("at", F.sha2(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.col(key).cast("string")), 256))
-    size = F.count("*").over(Window.partitionBy("epoch"))
-    numbered = renumber(rows, ["epoch", "at", key], "place").withColumn("size", size)
+    size = ids.agg(F.count("*").alias("size"))  # one row
+    numbered = renumber(rows, ["epoch", "at", key], "place").join(F.broadcast(size), F.lit(True))
     return numbered.select("epoch", F.floor(F.pmod(F.col("place") - 1, F.col("size")) / batch).cast("long").alias("batch"), key)

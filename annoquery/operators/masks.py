@@ -12,20 +12,6 @@ def rectangle_runs(boxes: DataFrame, key: str) -> DataFrame:
     return boxes.where("x1 > x0 and y1 > y0").select("image_id", key, rows.alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
 
 
-def rle_runs(rows: DataFrame, key: str) -> DataFrame:
-    """Runs of uncompressed run-length masks: ``size`` (height, width) and ``counts`` of background and mask pixels in turn, column after column.
-
-    Runs come back as column runs with x and y exchanged, which areas, unions and overlaps of such masks don't notice; ``y`` is the column.
-    """
-    ends = F.aggregate("counts", F.array().cast("array<bigint>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)), lambda acc: acc)
-    spans = F.filter(F.transform(ends, lambda e, i: F.named_struct(F.lit("a"), e - F.get("counts", i), F.lit("b"), e, F.lit("i"), i)), lambda s: (s["i"] % 2 == 1) & (s["b"] > s["a"]))
-    height = F.get("size", F.lit(0)).cast("bigint")
-    flat = rows.where(F.size("size") == 2).select("image_id", key, height.alias("h"), F.explode(spans).alias("s"))
-    column = F.explode(F.sequence(F.floor(F.col("s.a") / F.col("h")), F.floor((F.col("s.b") - 1) / F.col("h"))))
-    cut = flat.select("image_id", key, "h", "s", column.alias("y"))
-    return cut.select("image_id", key, F.col("y").cast("int").alias("y"), (F.greatest("s.a", F.col("y") * F.col("h")) - F.col("y") * F.col("h")).cast("int").alias("x0"), (F.least("s.b", (F.col("y") + 1) * F.col("h")) - F.col("y") * F.col("h")).cast("int").alias("x1"))
-
-
 def polygon_runs(rows: DataFrame, key: str) -> DataFrame:
     """Runs of ``polygons`` (arrays x, y, x, y ...): pixels whose centre is inside, by the even-odd rule in each polygon; a mask is the union of its polygons."""
     each = rows.select("image_id", key, F.posexplode("polygons").alias("part", "p"))

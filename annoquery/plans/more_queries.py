@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import box, text
-from ..operators import conversion, etl, evaluate, governance, masks, sampling, scoring
+from ..operators import conversion, etl, evaluate, governance, masks, rle, sampling, scoring
 from ..sources.views import SQL, annotations, predictions, table
 from .queries import _MAPPED, _PAIRS, _mapped, _values, query
 
@@ -24,9 +24,9 @@ def valid_boxes(spark, sf_dir):
 def rle_mask_areas(spark, sf_dir):
     """Run-length masks of boxes in images of 250 rows and 200 columns: decoded runs count the same pixels."""
     x, y, w, h = (F.expr(e).cast("bigint") for e in ("x0", "y0", "x1 - x0", "y1 - y0"))
-    counts = F.concat(F.array(x * 250 + y), F.flatten(F.transform(F.sequence(F.lit(1).cast("bigint"), w), lambda i: F.when(i < w, F.array(h, 250 - h)).otherwise(F.array(h)))))
+    counts = F.concat(F.array(x * 250 + y), F.flatten(F.transform(F.sequence(F.lit(1).cast("bigint"), w), lambda i: F.when(i < w, F.array(h, 250 - h)).otherwise(F.array(h)))), F.array(200 * 250 - (x + w - 1) * 250 - y - h))
     rows = annotations(spark, sf_dir).select("image_id", "ann_id", F.array(F.lit(250), F.lit(200)).alias("size"), counts.alias("counts"))
-    return masks.mask_area(masks.rle_runs(rows, "ann_id"), ["ann_id"])
+    return masks.mask_area(rle.rle_runs(rows, "ann_id"), ["ann_id"])
 
 
 @query(f"WITH {SQL} SELECT ann_id, (x1 - x0)::BIGINT * (y1 - y0)::BIGINT + (CASE WHEN line = 1 THEN 100 ELSE 0 END) AS pixels FROM v_ann")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from . import publish
+
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Validated JSON lines: adds ``valid`` (the line parses and is not blank)."""
@@ -42,21 +43,33 @@ def path_list(spark: SparkSession, path: str) -> DataFrame:
 def write_gated(rows: DataFrame, path: str, least: int) -> int:
     """Write JSON lines, if there are at least ``least`` rows; returns their number.
 
-    Rows are written aside first. With too few of them the job fails, and what was at ``path`` before stays.
+    Rows are written aside, counted as they are written, and moved into place. With too few of them the job fails, and what was at ``path`` before stays.
     """
-    seen, aside = Observation(), f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    rows.observe(seen, F.count("*").alias("n")).write.json(aside)
-    if seen.get["n"] >= least:
-        rows.sparkSession.read.schema(rows.schema).json(aside).write.mode("overwrite").json(path)
-    rows.sparkSession.range(0).write.mode("overwrite").json(aside)
-    if seen.get["n"] < least:
-        raise ValueError(f"{seen.get['n']} rows written; {least} are needed")
+    spark, seen, written = rows.sparkSession, Observation(), publish.aside(path)
+    try:
+        rows.observe(seen, F.count("*").alias("n")).write.json(written)
+        if seen.get["n"] < least:
+            raise ValueError(f"{seen.get['n']} rows written; {least} are needed")
+        publish.replace(spark, written, path)
+    except Exception:
+        publish.drop(spark, written)
+        raise
     return seen.get["n"]
 
 
 def with_row_index(rows: DataFrame) -> DataFrame:
-    """Adds ``row_index``, from 0 in each file, by the reader's own row numbers where it has them (Parquet)."""
-    return rows.select("*", F.col("_metadata.row_index").alias("row_index"), F.col("_metadata.file_name").alias("file"))
+    """Adds ``file`` and ``row_index``, from 0 in each file: the reader's own row numbers for Parquet; for others places in their files, which must not be split (``wholetext``, compressed or below a split's size)."""
+    own = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+    try:
+        return rows.select("*", F.col("_metadata.row_index").alias("row_index"), F.col("_metadata.file_name").alias("file"))
+    except AnalysisException:
+        pass
+    at = F.monotonically_increasing_id()
+    numbered = own.withColumn("_at", at)
+    first = numbered.groupBy("file").agg(F.min("_at").alias("_first"), F.max("_start").alias("_split"))
+    joined = numbered.join(first, "file")
+    whole = F.when(F.col("_split") > 0, F.raise_error(F.lit("a file is split; its rows have no known places"))).otherwise(F.col("_at") - F.col("_first"))
+    return joined.select(*rows.columns, whole.alias("row_index"), "file")
 
 
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
@@ -80,9 +93,13 @@ def image_inventory(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "length", F.sha2("content", 256).alias("sha"))
 
 
-def list_digest(rows: DataFrame, column: str) -> DataFrame:
-    """One row: the digest of the sorted distinct lines, each ended by a line feed. The list is that of a hold-out, so it fits one row."""
-    return rows.agg(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_set(column)), "\n"), F.lit("\n")), 256).alias("digest"))
+def list_digest(rows: DataFrame, column: str, place: str) -> DataFrame:
+    """One row: the digest of all lines in the order of ``place``, repeats included, each ended by a line feed; of nothing, if there are none.
+
+    A digest over an ordered list needs the list whole: that of a hold-out fits one row.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(column).alias("v"))))
+    return rows.agg(F.sha2(F.array_join(F.transform(listed, lambda r: F.concat(r["v"], F.lit("\n"))), ""), 256).alias("digest"))
 
 
 def response_coverage(cases: DataFrame, responses: DataFrame, key: str) -> DataFrame:

@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one serves on a single machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-annoquery-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """The rows, written once to the folder that the cluster shares (``spark.checkpoint.dir``); a temporary one serves on a single machine only."""
+    """The rows, written once to the shared folder."""
     spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-annoquery-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return rows.checkpoint()
 
 
