@@ -111,16 +111,30 @@ def embedding_parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(F.max("most"), 6).alias("max_error"), F.round(F.avg("mean"), 6).alias("mean_error"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
 
 
-def donors(rows: DataFrame, key: str, image: str, label: str, seed: str) -> DataFrame:
-    """(key, donor): for each row one row of the same label in another image, spread by hash; null where there is none.
+def donors(rows: DataFrame, key: str, image: str, label: str, seed: str, attributes: str | None = None, needs: Column | None = None) -> DataFrame:
+    """(key, donor): for each row another row of its label in another image, each equally likely by hash; null where there is none.
 
-    Each label keeps its two first images by hash with one row each, so a receiver always has one of another image, without a self-join.
+    Where ``needs`` holds, the donor has the row's ``attributes`` as well.
     """
-    h = stable_rank(seed, key)
-    per_image = rows.groupBy(label, image).agg(F.min(F.struct(h.alias("h"), F.col(key).alias("donor"))).alias("m"))
-    order = Window.partitionBy(label).orderBy("m.h")
-    two = per_image.withColumn("rn", F.row_number().over(order)).where("rn <= 2").groupBy(label).agg(F.max(F.when(F.col("rn") == 1, F.struct(F.col(image).alias("i"), "m.donor"))).alias("a"), F.max(F.when(F.col("rn") == 2, F.struct(F.col(image).alias("i"), "m.donor"))).alias("b"))
-    return rows.join(two, label, "left").select(key, F.when(F.col("a.i") != F.col(image), F.col("a.donor")).otherwise(F.col("b.donor")).alias("donor"))
+    plain = _of_other_images(rows, key, image, [label], seed)
+    if attributes is None:
+        return plain
+    strict = _of_other_images(rows.where(F.col(attributes).isNotNull()), key, image, [label, attributes], seed).withColumnRenamed("donor", "strict")
+    marked = rows.select(key, F.coalesce(needs, F.lit(False)).alias("needs"))
+    return marked.join(plain, key, "left").join(strict, key, "left").select(key, F.when(F.col("needs"), F.col("strict")).otherwise(F.col("donor")).alias("donor"))
+
+
+def _of_other_images(rows: DataFrame, key: str, image: str, by: list[str], seed: str) -> DataFrame:
+    """A group's rows stand in one order in which those of an image follow each other. A row's donor is, by its hash, one of the places after its image's, round the group."""
+    hashed = rows.select(key, image, *by, stable_rank(seed, image).alias("_i"), stable_rank(seed, key).alias("_k"))
+    placed = renumber(hashed, [*by, "_i", image, "_k", key], "_place")
+    groups = placed.groupBy(*by).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    images = placed.groupBy(*by, image).agg(F.max("_place").alias("_last"), F.count("*").alias("_own"))
+    others = F.col("_n") - F.col("_own")
+    draw = F.when(others > 0, F.conv(F.substring("_k", 1, 8), 16, 10).cast("bigint") % others)
+    target = F.col("_first") + (F.col("_last") - F.col("_first") + 1 + draw) % F.col("_n")
+    receivers = placed.join(groups, by, "left").join(images, [*by, image], "left").select(key, target.alias("_place"))
+    return receivers.join(placed.select("_place", F.col(key).alias("donor")), "_place", "left").select(key, "donor")
 
 
 def quantile_masks(cells: DataFrame, key: str, quantiles: list[float]) -> DataFrame:

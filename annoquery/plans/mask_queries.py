@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import coco_eval, conversion, masks, rle
-from ..sources import coco_bundle
+from ..sources import coco_bundle, indexes
 from ..sources.views import SQL, annotations, predictions, shared_folder, table
 from .queries import query
 
@@ -113,3 +113,19 @@ def coco_document(spark, sf_dir):
     path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
     coco_bundle.write_bundle(path, lists)
     return coco_bundle.read_list(spark, path, "annotations", "id long, image_id long, source_id long, bbox array<double>, iscrowd int, area double")
+
+
+def _samples(spark, sf_dir):
+    """Images with their annotations as items."""
+    rows = annotations(spark, sf_dir).withColumn("i", F.struct(F.col("ann_id"), F.col("category").alias("category_name"), F.col("line").alias("category_id"), F.lit(1).alias("style"), F.array("x0", "y0", "x1", "y1").alias("bounding_box")))
+    return rows.groupBy("image_id").agg(F.array_sort(F.collect_list("i")).alias("items"), F.max("status").alias("split"), F.lit("{}").alias("raw_attributes"))  # an image's annotations
+
+
+@query(f"WITH {SQL} SELECT image_id, count(*) AS items, count(*) FILTER (category = 'SMALL') AS small FROM v_ann GROUP BY 1 HAVING count(*) FILTER (category = 'SMALL') > 0")
+def index_scan(spark, sf_dir):
+    """Three indexes in one commit, of which one is without rows; then a scan of one with a filter on its nested categories."""
+    path = f"{shared_folder(spark)}/indexes-{uuid.uuid4().hex}"
+    questions = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    indexes.build_indexes(spark, path, {"samples": indexes.index_record(_samples(spark, sf_dir)), "questions": questions, "validation": None})
+    found = indexes.read_index(spark, path, "samples", "image_id long, items array<struct<category_name string>>", "SMALL")
+    return found.select("image_id", F.size("items").cast("long").alias("items"), F.size(F.filter("items", lambda i: i["category_name"] == "SMALL")).cast("long").alias("small"))

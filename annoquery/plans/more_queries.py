@@ -238,13 +238,23 @@ def neighbour_parity(spark, sf_dir):
     return scoring.embedding_parity(v, v.withColumn("vec_id", F.col("vec_id") - 1), "vec_id")
 
 
+def _other_image(by: str, name: str) -> str:
+    """SQL of the rule: the rows of a group in an order that keeps images together; the donor is drawn among all that follow a row's own image, round the group."""
+    same = " AND ".join(f"a.{c} = b.{c}" for c in by.split(", "))
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ih, image_id, h, vec_id) - 1 AS place, count(*) OVER (PARTITION BY {by}) AS n FROM h),
+    {name}_i AS (SELECT *, max(place) OVER w AS last, count(*) OVER w AS own FROM {name}_o WINDOW w AS (PARTITION BY {by}, image_id)),
+    {name} AS (SELECT a.vec_id, b.vec_id AS donor FROM {name}_i a LEFT JOIN {name}_o b ON {same} AND a.n > a.own AND b.place = (a.last + 1 + ('0x' || substr(a.h, 1, 8))::BIGINT % nullif(a.n - a.own, 0)) % a.n)"""
+
+
 @query(
-    """WITH h AS (SELECT vec_id, vec_id // 10 AS image_id, label, sha256(concat('d', chr(0), vec_id::VARCHAR)) AS h FROM embeddings), i AS (SELECT label, image_id, min(h) AS h, arg_min(vec_id, h) AS donor FROM h GROUP BY 1, 2),
-    t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS rn FROM i)
-    SELECT vec_id, CASE WHEN a.image_id <> h.image_id THEN a.donor ELSE b.donor END AS donor FROM h LEFT JOIN (SELECT * FROM t WHERE rn = 1) a USING (label) LEFT JOIN (SELECT * FROM t WHERE rn = 2) b USING (label)"""
+    f"""WITH h AS (SELECT vec_id, vec_id // 10 AS image_id, label, vec_id % 3 AS kind, sha256(concat('d', chr(0), vec_id::VARCHAR)) AS h, sha256(concat('d', chr(0), (vec_id // 10)::VARCHAR)) AS ih FROM embeddings),
+    {_other_image("label", "p")}, {_other_image("label, kind", "s")}
+    SELECT h.vec_id, CASE WHEN h.vec_id % 2 = 0 THEN s.donor ELSE p.donor END AS donor FROM h LEFT JOIN p USING (vec_id) LEFT JOIN s USING (vec_id)"""
 )
 def paste_donors(spark, sf_dir):
-    return scoring.donors(table(spark, sf_dir, "embeddings").withColumn("image_id", F.floor(F.col("vec_id") / 10)), "vec_id", "image_id", "label", "d")
+    """Donors of the same label, for even ids of the same kind as well."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 10).alias("image_id"), (F.col("vec_id") % 3).alias("kind"))
+    return scoring.donors(rows, "vec_id", "image_id", "label", "d", "kind", F.col("vec_id") % 2 == 0)
 
 
 @query(
