@@ -521,4 +521,4 @@ def crop_coverage(spark, sf_dir):
     return reports.coverage_summary(reports.crop_coverage(annotations(spark, sf_dir), crops, [1, 3], 200 * 200))
 
 
-from . import decision_queries, mask_queries, more_queries  # noqa: E402,F401  register the rest
+from . import corpus_queries, decision_queries, mask_queries, more_queries  # noqa: E402,F401  register the rest
