@@ -26,3 +26,31 @@ def retrieval_metrics(ranked: DataFrame) -> DataFrame:
     positives = ranked.withColumn("targets", F.sum(F.col("positive").cast("int")).over(Window.partitionBy("query_id")))
     inside = F.sum((F.col("positive") & (F.col("rank") <= F.col("targets"))).cast("int"))
     return positives.groupBy("query_id").agg(F.max("targets").cast("long").alias("targets"), F.min(F.when(F.col("positive"), F.col("rank"))).cast("long").alias("first_rank"), (inside == F.max("targets")).alias("exact_set"))
+
+
+def positive_pairs(queries: DataFrame, regions: DataFrame) -> DataFrame:
+    """(query_id, ann_id) where a query (query_id, target_ids) names a region (ann_id): the positive cells of the matrix, as a table."""
+    named = queries.select("query_id", F.explode(F.array_distinct("target_ids")).alias("ann_id"))
+    return named.join(regions.select("ann_id").distinct(), "ann_id", "left_semi").select("query_id", "ann_id")
+
+
+def matrix_problems(queries: DataFrame, regions: DataFrame) -> DataFrame:
+    """(kind, id, problem): queries without targets or with targets that are no regions, regions of no query, and ids that rows repeat."""
+    named = queries.select("query_id", F.explode(F.array_distinct("target_ids")).alias("ann_id"))
+    known = regions.select("ann_id").distinct()
+    problem = lambda rows, kind, key, name: rows.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.lit(name).alias("problem"))
+    twice = lambda rows, key: rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    return (
+        problem(queries.where(F.coalesce(F.size("target_ids"), F.lit(0)) < 1), "query", "query_id", "no_target")
+        .unionAll(problem(named.join(known, "ann_id", "left_anti").select("query_id").distinct(), "query", "query_id", "unknown_target"))
+        .unionAll(problem(known.join(named, "ann_id", "left_anti"), "region", "ann_id", "no_query"))
+        .unionAll(problem(twice(queries, "query_id"), "query", "query_id", "repeated"))
+        .unionAll(problem(twice(regions, "ann_id"), "region", "ann_id", "repeated"))
+    )
+
+
+def unique_targets(rows: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Targets (image_id, ann_id, fields) once each, and the (image_id, ann_id) whose repeated rows differ."""
+    each = rows.groupBy("image_id", "ann_id").agg(F.min(F.struct(*fields)).alias("low"), F.max(F.struct(*fields)).alias("high"))
+    same = F.col("low").eqNullSafe(F.col("high"))
+    return each.where(same).select("image_id", "ann_id", "low.*"), each.where(~same).select("image_id", "ann_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import crops, paraphrase, selection
+from ..operators import crops, paraphrase, retrieval, selection, statistics
 from ..sources.views import SQL, annotations, table
 from .queries import query
 
@@ -91,3 +91,54 @@ def fused_score_maps(spark, sf_dir):
     cells = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("map_id"), (F.col("vec_id") % 2 * 4).alias("crop_y"), F.posexplode("embedding").alias("i", "v"))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v").cast("double") + 0.5))
     return crops.fused(cells.select("map_id", "crop_y", F.col("crop_y").alias("crop_x"), F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).cast("bigint").alias("x"), score.alias("score")), "map_id")
+
+
+@query(
+    """WITH e AS (SELECT '{"type":"' || event_type || '","props":' || props || ',"tags":["a",' || event_id % 3 || ']}' AS t, event_type, (props->>'k')::INT AS k, event_id FROM events),
+    x AS (SELECT 'type' AS path, 'string' AS kind, '"' || event_type || '"' AS v FROM e UNION ALL SELECT 'props', 'object', NULL FROM e UNION ALL SELECT 'tags', 'array', NULL FROM e UNION ALL SELECT 'props.k', 'bigint', k::VARCHAR FROM e
+      UNION ALL SELECT 'tags[]', 'string', '"a"' FROM e UNION ALL SELECT 'tags[]', 'bigint', (event_id % 3)::VARCHAR FROM e UNION ALL SELECT '!', 'broken', NULL FROM e WHERE event_id % 10 = 0)
+    SELECT path, kind, count(*) AS n, count(DISTINCT v) AS values, min(v) AS least, max(v) AS most FROM x GROUP BY 1, 2"""
+)
+def record_fields(spark, sf_dir):
+    """Fields of JSON records made of the events; some texts are cut off."""
+    text_ = F.concat(F.lit('{"type":"'), "event_type", F.lit('","props":'), "props", F.lit(',"tags":["a",'), (F.col("event_id") % 3).cast("string"), F.lit("]}"))
+    events = table(spark, sf_dir, "events")
+    broken = events.where("event_id % 10 = 0").select(F.substring(text_, 1, 9).alias("t"))
+    return statistics.field_statistics(events.select(text_.alias("t")).unionAll(broken), "t")
+
+
+@query(
+    f"""WITH {SQL}, s AS (SELECT image_id, max(status) AS split, CASE WHEN image_id % 3 = 0 THEN 'web' ELSE 'shop' END AS source, list(category) AS c FROM v_ann GROUP BY image_id),
+    i AS (SELECT split, unnest(c) AS k FROM s), g AS (SELECT split, k, count(*) AS n FROM i GROUP BY 1, 2), h AS (SELECT split, source AS k, count(*) AS n FROM s GROUP BY 1, 2)
+    SELECT split, count(*) AS samples, sum(len(c))::BIGINT AS items, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM g WHERE g.split = s.split) AS categories, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM h WHERE h.split = s.split) AS sources FROM s GROUP BY split"""
+)
+def dataset_statistics(spark, sf_dir):
+    rows = annotations(spark, sf_dir).groupBy("image_id").agg(F.max("status").alias("split"), F.collect_list(F.struct(F.col("category").alias("category_name"))).alias("items"))  # an image's annotations
+    rows = rows.withColumn("source", F.when(F.col("image_id") % 3 == 0, "web").otherwise("shop"))
+    listed = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return statistics.index_statistics(rows).select("split", "samples", "items", listed("categories"), listed("sources"))
+
+
+_MATRIX = """WITH q AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 9 = 0 THEN []::BIGINT[] ELSE [vec_id, vec_id + 1, vec_id] END AS target_ids FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, [vec_id] FROM embeddings WHERE vec_id % 51 = 0), r AS (SELECT vec_id AS ann_id FROM embeddings WHERE vec_id % 7 <> 0),
+    n AS (SELECT DISTINCT query_id, t AS ann_id FROM (SELECT query_id, unnest(target_ids) AS t FROM q))"""
+
+
+def _matrix(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"))
+    n = F.col("query_id")
+    named = v.where("query_id % 3 = 0").withColumn("target_ids", F.when(n % 9 == 0, F.array().cast("array<bigint>")).otherwise(F.array(n, n + 1, n)))
+    return named.unionAll(v.where("query_id % 51 = 0").withColumn("target_ids", F.array("query_id"))), v.where("query_id % 7 <> 0").withColumnRenamed("query_id", "ann_id")
+
+
+@query(_MATRIX + " SELECT query_id, ann_id FROM n WHERE ann_id IN (SELECT ann_id FROM r)")
+def region_positives(spark, sf_dir):
+    return retrieval.positive_pairs(*_matrix(spark, sf_dir)).distinct()
+
+
+@query(
+    _MATRIX
+    + """ SELECT 'query' AS kind, query_id AS id, 'no_target' AS problem FROM q WHERE len(target_ids) = 0 UNION ALL SELECT DISTINCT 'query', query_id, 'unknown_target' FROM n WHERE ann_id NOT IN (SELECT ann_id FROM r)
+    UNION ALL SELECT 'region', ann_id, 'no_query' FROM r WHERE ann_id NOT IN (SELECT ann_id FROM n) UNION ALL SELECT 'query', query_id, 'repeated' FROM q GROUP BY query_id HAVING count(*) > 1"""
+)
+def region_matrix_problems(spark, sf_dir):
+    return retrieval.matrix_problems(*_matrix(spark, sf_dir))
