@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import coco_eval, conversion, masks, rle
+from ..operators import coco_eval, conversion, masks, prediction_rows, rle
 from ..sources import coco_bundle, indexes
 from ..sources.views import SQL, annotations, predictions, shared_folder, table
 from .queries import query
@@ -129,3 +129,46 @@ def index_scan(spark, sf_dir):
     indexes.build_indexes(spark, path, {"samples": indexes.index_record(_samples(spark, sf_dir)), "questions": questions, "validation": None})
     found = indexes.read_index(spark, path, "samples", "image_id long, items array<struct<category_name string>>", "SMALL")
     return found.select("image_id", F.size("items").cast("long").alias("items"), F.size(F.filter("items", lambda i: i["category_name"] == "SMALL")).cast("long").alias("small"))
+
+
+@query(
+    f"""WITH {SQL} SELECT pred_id, score, x0 + 10 AS x0, y0 + 20 AS y0, x1 + 10 AS x1, y1 + 20 AS y1 FROM v_pred WHERE score >= CASE category WHEN 'LARGE' THEN 0.9 ELSE 0.75 END"""
+)
+def instance_predictions(spark, sf_dir):
+    """A quarter of the boxes have no width; their masks give them back."""
+    found = predictions(spark, sf_dir)
+    runs = masks.rectangle_runs(found, "pred_id")
+    flat = found.withColumn("x1", F.when(F.col("pred_id") % 4 == 0, F.col("x0")).otherwise(F.col("x1")))
+    return prediction_rows.instance_rows(flat, runs, {"LARGE": 0.9}, 0.75, 10.0, 20.0).select("pred_id", "score", "x0", "y0", "x1", "y1")
+
+
+@query(f"WITH {SQL} SELECT pred_id, greatest(0, least(1, score * 1.5 - 0.25)) AS confidence, ((x1 - x0) * (y1 - y0))::BIGINT AS pixels, x0 - 5 AS x0, y0 AS y0, x1 - 5 AS x1, y1 AS y1 FROM v_pred WHERE (x1 - x0) * (y1 - y0) >= 300")
+def mask_region_rows(spark, sf_dir):
+    found = predictions(spark, sf_dir)
+    regions = found.select("pred_id", (F.col("score") * 1.5 - 0.25).alias("confidence"))
+    return prediction_rows.mask_regions(regions, masks.rectangle_runs(found, "pred_id"), "pred_id", 300, dx=-5.0)
+
+
+@query(
+    f"""WITH {SQL} SELECT image_id, CASE category WHEN 'SMALL' THEN 1 WHEN 'LARGE' THEN 2 END AS category_id, score, [x0, y0, x1 - x0 - 4, y1 - y0] AS bbox, [[x0 + 7, y0 - 3, x1 + 7, y0 - 3, x1 + 7, y1 - 3]] AS segmentation
+    FROM v_pred WHERE category IN ('SMALL', 'LARGE') AND x1 - x0 > 4 AND pred_id % 5 <> 0"""
+)
+def coco_result_rows(spark, sf_dir):
+    """Regions with a short polygon beside a whole one, for every fifth the short one alone."""
+    short, whole = F.array(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y0")), F.array("x0", "y0", "x1", "y0", "x1", "y1")
+    polygons = prediction_rows.moved_polygons(F.when(F.col("pred_id") % 5 == 0, F.array(short)).otherwise(F.array(short, whole)), 7.0, -3.0)
+    region = F.struct(F.col("category").alias("label"), F.col("score").alias("confidence"), F.struct("x0", "y0", (F.col("x1") - 4).alias("x1"), "y1").alias("box"), polygons.alias("mask"))
+    rows = predictions(spark, sf_dir).groupBy("image_id").agg(F.collect_list(region).alias("regions"))  # an image's regions
+    label = F.col("r.label")
+    return prediction_rows.coco_results(rows, F.when(label == "SMALL", 1).when(label == "LARGE", 2))
+
+
+@query(
+    f"""WITH {SQL}, f AS (SELECT category IN ('SMALL', 'LARGE') AND x1 - x0 > 5 AND ann_id % 3 <> 0 AS ok FROM v_ann WHERE image_id IN (SELECT o_orderkey FROM orders))
+    SELECT (SELECT count(*) FROM orders) AS images, count(*) FILTER (ok) AS annotations, count(*) FILTER (NOT ok) AS skipped FROM f"""
+)
+def item_conversion_counters(spark, sf_dir):
+    images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"))
+    polygons = F.when(F.col("ann_id") % 3 == 0, F.array(F.array("x0", "y0"))).otherwise(F.array(F.array("x0", "y0", "x1", "y0", "x1", "y1")))
+    items = annotations(spark, sf_dir).select("image_id", F.when(F.col("category").isin("SMALL", "LARGE"), F.lower("category")).alias("target"), conversion.loose_polygons(polygons).alias("polygons"), conversion.xyxy_to_xywh(F.array("x0", "y0", F.col("x1") - 5, "y1")).alias("bbox"))
+    return prediction_rows.item_conversion(images, items)
