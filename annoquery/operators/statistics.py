@@ -45,8 +45,3 @@ def index_statistics(samples: DataFrame, split: str = "split", source: str = "so
     categories = nested(samples.select(split, F.explode("items").alias("i")), F.col("i.category_name"), "categories")
     return counts.join(categories, split, "left").join(nested(samples, F.col(source), "sources"), split, "left")
 
-
-def merged_counts(left: Column, right: Column) -> Column:
-    """Sum of two maps of counts, key by key."""
-    one = lambda m: F.coalesce(m, F.create_map().cast("map<string,bigint>"))
-    return F.map_zip_with(one(left), one(right), lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import publish
@@ -106,3 +106,49 @@ def response_coverage(cases: DataFrame, responses: DataFrame, key: str) -> DataF
     """(key, problem): cases without a response, and responses without a case."""
     both = cases.select(key, F.lit(True).alias("c")).join(responses.select(key, F.lit(True).alias("r")).distinct(), key, "full")
     return both.where("c is null or r is null").select(key, F.when(F.col("c").isNull(), "unexpected").otherwise("missing").alias("problem"))
+
+
+def prediction_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON file that is one flat list of objects; anything else in it ends the job. Fields that a row lacks are null."""
+    rows = spark.read.schema("value string").text(path, wholetext=True)
+    listed = rows.select(F.explode(F.from_json("value", "array<variant>", {"mode": "FAILFAST"})).alias("v"))
+    checked = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.to_json("v")).otherwise(F.raise_error(F.lit("a prediction is no object")).cast("string"))
+    return listed.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """JSON texts of report rows, in which numbers that are not finite are null."""
+    finite = [F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in rows.dtypes]
+    return rows.select(F.to_json(F.struct(*finite), {"ignoreNullFields": "false"}).alias("report"))
+
+
+#: The columns of a screening table before and after its counts, and the names of the counts.
+SCREENING = ["image_path", "image_sha256", "width", "height", "screening_status"], ["rejection_reason", "screened_by", "screened_at", "notes"]
+SCREENING_COUNTS = {"regions": ["collar", "cuff", "hem", "pocket", "shoulder", "waist", "pattern", "decoration"], "weak": ["zipper", "rivet", "neckline", "pocket"]}
+
+
+def screening_table(plan: DataFrame) -> DataFrame:
+    """The 21 columns of a screening CSV: maps of counts become columns, absent counts 0 and absent texts empty."""
+    before, after = SCREENING
+    counts = [F.coalesce(F.try_element_at(F.col(m), F.lit(n)), F.lit(0)).alias(f"{m}_{n}") for m, names in SCREENING_COUNTS.items() for n in names]
+    return plan.select(*before, *counts, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in after))
+
+
+def screening_changes(plan: DataFrame, table: DataFrame) -> DataFrame:
+    """(image_path, problem) of an edited screening table (all columns text) against its plan: other columns, rows that are new, gone or repeated, changed identity, counts that are no numbers."""
+    want = screening_table(plan).columns
+    if table.columns != want:
+        raise ValueError(f"the columns differ: {', '.join(sorted(set(want) ^ set(table.columns))) or 'in their order'}")
+    own = plan.select("image_path", *(F.col(c).cast("string").alias(f"p_{c}") for c in ("image_sha256", "width", "height"))).withColumn("planned", F.lit(True))
+    edited = table.withColumn("times", F.count("*").over(Window.partitionBy("image_path"))).withColumn("there", F.lit(True))  # rows of one image
+    both = own.join(edited, "image_path", "full")
+    numbers = [c for c in want if c.startswith(("regions_", "weak_"))]
+    bad = F.exists(F.array(*numbers), lambda v: F.coalesce(v.try_cast("int") < 0, F.lit(True)))
+    rules = {
+        "unknown": F.col("planned").isNull(),
+        "missing": F.col("there").isNull(),
+        "repeated": F.col("times") > 1,
+        "identity": F.col("planned") & F.col("there") & ~(F.col("image_sha256").eqNullSafe(F.col("p_image_sha256")) & F.col("width").eqNullSafe(F.col("p_width")) & F.col("height").eqNullSafe(F.col("p_height"))),
+        "count": F.col("there") & bad,
+    }
+    return both.select("image_path", F.explode(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))).alias("problem")).distinct()

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from annoquery.operators import conversion
 from annoquery.plans import decision_queries
 from annoquery.sources import coco_bundle, files, indexes, publish
 from annoquery.streaming import decisions, jobs
@@ -182,3 +183,55 @@ def test_decision_stream_equals_batch_over_a_restart(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=str) == wanted
     states = {r["status"]: r["n"] for r in decisions.progress(worklist, found).collect()}
     assert sum(states.values()) == worklist.count()
+
+
+def test_prediction_lists(spark, tmp_path):
+    (tmp_path / "good.json").write_text('[{"image_id": 1, "score": 0.5}, {"image_id": 2}]')
+    (tmp_path / "bad.json").write_text('[{"image_id": 1}, 7]')
+    (tmp_path / "object.json").write_text('{"image_id": 1}')
+    assert sorted(map(tuple, files.prediction_list(spark, str(tmp_path / "good.json"), "image_id int, score double").collect())) == [(1, 0.5), (2, None)]
+    for name in ("bad", "object"):
+        with pytest.raises(Exception):
+            assert files.prediction_list(spark, str(tmp_path / f"{name}.json"), "image_id int").collect() is None
+
+
+def test_reports_have_no_numbers_without_an_end(spark):
+    rows = spark.sql("SELECT 1 AS n, double('NaN') AS a, float('inf') AS b, 0.5D AS c, 'x' AS d")
+    assert json.loads(files.report(rows).first()[0]) == {"n": 1, "a": None, "b": None, "c": 0.5, "d": "x"}
+
+
+def test_screening_tables_and_their_edits(spark, tmp_path):
+    plan = spark.createDataFrame([(f"{i}.jpg", f"s{i}", 4, 5, "pending", {"hem": 2} if i else None, None, None, None, None, None) for i in range(5)], "image_path string, image_sha256 string, width int, height int, screening_status string, regions map<string,int>, weak map<string,int>, rejection_reason string, screened_by string, screened_at timestamp, notes string")
+    files.screening_table(plan).write.csv(str(tmp_path / "t"), header=True)
+    table = spark.read.csv(str(tmp_path / "t"), header=True)
+    assert len(table.columns) == 21 and files.screening_changes(plan, table).count() == 0
+    edited = table.where("image_path <> '0.jpg'").withColumn("width", F.expr("if(image_path = '1.jpg', '9', width)")).withColumn("regions_hem", F.expr("if(image_path = '2.jpg', 'two', regions_hem)"))
+    edited = edited.unionAll(table.where("image_path = '3.jpg'")).unionAll(table.where("image_path = '4.jpg'").withColumn("image_path", F.lit("9.jpg")))
+    assert sorted(map(tuple, files.screening_changes(plan, edited).collect())) == [("0.jpg", "missing"), ("1.jpg", "identity"), ("2.jpg", "count"), ("3.jpg", "repeated"), ("9.jpg", "unknown")]
+    with pytest.raises(ValueError, match="notes"):
+        files.screening_changes(plan, table.drop("notes"))
+
+
+def test_sidecars_and_inventory(spark, tmp_path):
+    (tmp_path / "img").mkdir()
+    (tmp_path / "annos").mkdir()
+    for stem in ("b", "a", "c"):
+        (tmp_path / "img" / f"{stem}.jpg").write_bytes(stem.encode())
+    (tmp_path / "annos" / "a.json").write_text('{"item2": {"style": 1}, "source": "shop", "item1": {"style": 0}, "pair_id": 3}')
+    images, cars = files.image_inventory(spark, str(tmp_path / "img")), files.sidecars(spark, str(tmp_path / "annos"))
+    assert {r["path"].rpartition("/")[2]: (r["length"], r["sha"]) for r in images.collect()}["b.jpg"] == (1, hashlib.sha256(b"b").hexdigest())
+    joined = {r["stem"]: r for r in files.images_with_sidecars(images, cars, 2).collect()}
+    assert joined.keys() == {"a", "b"} and joined["b"]["items"] is None and [i["key"] for i in joined["a"]["items"]] == ["item1", "item2"]
+    assert json.loads(joined["a"]["items"][0]["value"]) == {"style": 0} and joined["a"]["metadata"] == {"source": "shop", "pair_id": "3"}
+
+
+def test_response_coverage(spark):
+    cases, responses = (spark.createDataFrame([(i,) for i in ids], "case_id string") for ids in ("abc", "bccd"))
+    assert sorted(map(tuple, files.response_coverage(cases, responses, "case_id").collect())) == [("a", "missing"), ("d", "unexpected")]
+
+
+def test_paths_names_and_strata(spark):
+    names = spark.createDataFrame([("a/b.jpg",), ("/a.jpg",), ("a/../b",), ("..",), ("a..b/c",)], "n string")
+    assert [r[0] for r in names.select(conversion.safe_path(F.col("n"))).collect()] == [True, False, False, False, True]
+    marks, kinds = spark.createDataFrame([(1, 5), (2, 9)], "ann_id int, category_id int"), spark.createDataFrame([(5, "hat")], "id int, name string")
+    assert sorted((r["ann_id"], r["category"]) for r in conversion.category_name(marks, kinds).collect()) == [(1, "hat"), (2, "<unknown:9>")]
