@@ -1,8 +1,8 @@
 """License scan by an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line, or, for text that goes on over line ends, a window of words: for templates of up to 16, 64 and 256 words, windows
+A block is a window of words, or a line that is no longer than one: for templates of up to 16, 64 and 256 words (or the longest's number), windows
 are three times as long and start at every half of their length, so each run of 1.5 times that length lies in one, whatever
-lines it has. A block's set is its distinct words, ordered by frequency over all documents, rarest first, as a template's are. A block meets a
+lines it has, and words that are further apart than a window meet no template together. A block's set is its distinct words, ordered by frequency over all documents, rarest first, as a template's are. A block meets a
 template if it holds at least ``threshold`` of the template's distinct words. Then it must share one of the template's first
 ``size - need + 1`` words (*prefix filter*), have at least ``need`` words (*length filter*), and after the first word they share, both
 must have enough words left (*positional filter*). Pairs that pass are verified by whole intersections, so the result is exact.
@@ -16,6 +16,7 @@ Null texts count as empty. An empty table gives no rows. Repeated rows are scann
 from __future__ import annotations
 
 import math
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,15 +100,14 @@ def phrase_places(docs: DataFrame, listed: list[str]) -> DataFrame:
     )
 
 
-def blocks_of(docs: DataFrame, reach: int | None) -> DataFrame:
-    """doc_id, text_hash, block and its words: lines, or windows for templates of up to ``reach`` words."""
-    if reach is None:
-        lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
-        return lines.select("doc_id", "text_hash", "block", F.split(spaced_words("line"), " ").alias("words"))
+def blocks_of(docs: DataFrame, reach: int) -> DataFrame:
+    """doc_id, text_hash, block and its words, for templates of up to ``reach`` words: windows of three times as many words, which overlap by half, and lines that are no longer."""
     step = math.ceil(1.5 * reach)
-    whole = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", "text_hash", F.split(spaced_words("text"), " ").alias("words"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - step - 1) / step).cast("int")))
-    return whole.select("doc_id", "text_hash", F.posexplode(F.transform(starts, lambda i: F.slice("words", i * step + 1, 2 * step))).alias("block", "words"))
+    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    lines = lines.select("doc_id", "text_hash", (-1 - F.col("at")).alias("block"), F.split(spaced_words("line"), " ").alias("words")).where(F.size("words") <= 2 * step)
+    whole = docs.select("doc_id", "text_hash", F.split(spaced_words("text"), " ").alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("words") - 2 * step) / step).cast("int")))
+    return lines.unionAll(whole.select("doc_id", "text_hash", F.posexplode(F.transform(starts, lambda i: F.slice("words", i * step + 1, 2 * step))).alias("block", "words")))
 
 
 def candidate_pairs(blocks: DataFrame, templates: list[tuple[str, str]], frequency: dict[str, int], threshold: float) -> DataFrame:
@@ -142,8 +142,8 @@ def template_matches(docs: DataFrame, found: DataFrame, templates=None, threshol
     on = F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("d.text_hash") == F.col("i.text_hash"))
     read = docs.alias("d").join((F.broadcast(ids) if ids.count() <= broadcast_rows else ids).alias("i"), on, "left_semi")
     read, pairs = staged(read, "license-texts"), None
-    for low, reach in ((0, None), (0, 16), (16, 64), (64, 256)):
-        own = [(t, label) for t, label in templates if reach is None or low < len(t.split()) <= reach]
+    for low, reach in pairwise((0, 16, 64, 256, max(257, *(len(t.split()) for t, _ in templates)))):
+        own = [(t, label) for t, label in templates if low < len(t.split()) <= reach]
         if own:
             part = candidate_pairs(blocks_of(read, reach), own, frequency, threshold)
             pairs = part if pairs is None else pairs.unionByName(part)

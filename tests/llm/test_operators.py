@@ -216,6 +216,14 @@ def test_license_over_line_ends(spark):
     assert all(r["score"] == 1.0 for r in found if r["labels"]) and all(r["base_labels"] == "" for r in found)
 
 
+def test_license_words_far_apart_are_no_license(spark):
+    bsd, own = (next(t for t, label in license.TEMPLATES if label == name).split() for name in ("bsd", "proprietary"))
+    far, near = (lambda words, gap: " ".join(w + " filler" * gap for w in words)), 1
+    texts = [far(bsd, 60), far(own, 300), far(bsd, near), "x " * 5000 + " ".join(bsd) + " y" * 5000]
+    found = license.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in found} == {0: "", 1: "", 2: "bsd", 3: "bsd"}
+
+
 def test_license_whole_texts_and_filters(spark):
     mit = license.MIT.split()
     wrapped = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
