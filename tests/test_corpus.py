@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annoquery.functions import text
-from annoquery.operators import crops, paraphrase, selection
+from annoquery.operators import crops, paraphrase, retrieval, selection, statistics
 
 BASE = "position long, id string, image_id long, language string, target_ids array<long>, query string"
 RESULT = "source_sample_id string, source_fingerprint string, language string, review_status string, generator_model string, paraphrases array<string>"
@@ -109,3 +109,16 @@ def test_fused_maps_refuse_scores_out_of_range(spark):
     assert sorted(map(tuple, crops.fused(maps, "m").collect())) == [(1, 0, 0, 0.5), (1, 1, 0, 0.7)]
     with pytest.raises(Exception, match="between 0 and 1"):
         crops.fused(maps.withColumn("score", F.lit(1.5)), "m").collect()
+
+
+def test_fields_of_nested_records(spark):
+    rows = spark.createDataFrame([('{"a": {"b": [1, {"c": null}]}, "t": true}',), ('{"a": 2}',), ("{",), (None,), ("[]",)], "t string")
+    found = {(r["path"], r["kind"]): (r["n"], r["values"]) for r in statistics.field_statistics(rows, "t", depth=4).collect()}
+    assert found["!", "broken"] == (1, 0) and found["a", "object"] == (1, 0) and found["a", "bigint"] == (1, 1) and found["a.b[]", "bigint"] == (1, 1) and found["t", "boolean"] == (1, 1)
+    assert found["a.b[].c", "void"][0] == 1 and statistics.field_statistics(rows.limit(0), "t").count() == 0
+
+
+def test_unique_targets_and_those_that_differ(spark):
+    rows = spark.createDataFrame([(1, 7, "hat", 0.0), (1, 7, "hat", 0.0), (1, 8, "hat", 0.0), (1, 8, "cap", 0.0), (2, 7, None, 1.0), (2, 7, None, 1.0)], "image_id int, ann_id int, label string, x0 double")
+    once, differ = retrieval.unique_targets(rows, ["label", "x0"])
+    assert sorted(map(tuple, once.collect())) == [(1, 7, "hat", 0.0), (2, 7, None, 1.0)] and [tuple(r) for r in differ.collect()] == [(1, 8)]
