@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluate import percent
-from .masks import mask_area, mask_iou, rectangle_runs, union_runs
+from .masks import rectangle_masks, union_masks, with_common
 
 
 def case_outcomes(cases: DataFrame, targets: DataFrame, regions: DataFrame, matches: DataFrame) -> DataFrame:
@@ -57,13 +57,15 @@ def first_region_outcomes(targets: DataFrame, regions: DataFrame, threshold: flo
 
     The threshold must be exceeded; images without a region stay, with an IoU of 0.
     """
-    order = Window.partitionBy("image_id").orderBy(F.desc("score"), "pred_id")
-    first = rectangle_runs(regions.withColumn("rank", F.row_number().over(order)).where("rank = 1"), "pred_id")
-    whole = union_runs(rectangle_runs(targets, "ann_id"), ["image_id"]).withColumn("target", F.col("image_id"))
-    iou = mask_iou(first, whole, "pred_id", "target").select("image_id", "iou")
-    cases = targets.groupBy("image_id").agg(F.count("*").alias("targets"))
-    cases = cases.join(regions.groupBy("image_id").agg(F.count("*").alias("regions")), "image_id", "left").join(iou, "image_id", "left")
-    out = cases.select("image_id", "targets", F.coalesce("regions", F.lit(0)).alias("regions"), F.coalesce("iou", F.lit(0.0)).alias("iou"))
+    of_image = Window.partitionBy("image_id")
+    ranked = regions.withColumn("rank", F.row_number().over(of_image.orderBy(F.desc("score"), "pred_id"))).withColumn("regions", F.count("*").over(of_image))
+    blocks = F.when(F.expr("x1 > x0 and y1 > y0"), F.array(*[F.col(c).cast("int") for c in ("y0", "y1", "x0", "x1")]))
+    own = F.when(F.expr("x1 > x0 and y1 > y0"), F.expr("cast((x1 - x0) * (y1 - y0) as bigint)"))
+    first = ranked.where("rank = 1").select("image_id", "regions", own.alias("own"), blocks.alias("first"))
+    whole = union_masks(targets.select("image_id", blocks.alias("blocks")), ["image_id"]).select("image_id", F.col("masks").alias("targets"), F.col("pixels").alias("area"), F.col("blocks").alias("whole"))
+    cases = with_common(whole.join(first, "image_id", "left"), "first", "whole")
+    iou = F.when(F.col("common") > 0, F.round(F.col("common") / (F.col("own") + F.col("area") - F.col("common")), 9))
+    out = cases.select("image_id", "targets", F.coalesce("regions", F.lit(0)).alias("regions"), F.coalesce(iou, F.lit(0.0)).alias("iou"))
     return out.withColumn("passed", F.col("iou") > threshold)
 
 
@@ -96,15 +98,11 @@ def crop_coverage(targets: DataFrame, crops: DataFrame, ks: list[int], pixels: i
     """image_id, ann_id, k, coverage, crop_area: the share of a target that the first k crops of its image cover together,
     and the share of the image's pixels in them. crops have image_id, rank and corners inside the image."""
     nested = crops.withColumn("k", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k >= F.col("rank"))))
-    runs = nested.select("*", F.explode(F.sequence(F.col("y0").cast("int"), F.col("y1").cast("int") - 1)).alias("y")).where("x1 > x0 and y1 > y0")
-    union = union_runs(runs.select("image_id", "k", "y", F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1")), ["image_id", "k"])
-    own = rectangle_runs(targets, "ann_id")
-    t, c = own.alias("t"), union.alias("c")
-    meet = (F.col("t.image_id") == F.col("c.image_id")) & (F.col("t.y") == F.col("c.y")) & (F.col("t.x0") < F.col("c.x1")) & (F.col("c.x0") < F.col("t.x1"))
-    common = t.join(c, meet).groupBy("t.ann_id", "c.k").agg(F.sum(F.least("t.x1", "c.x1") - F.greatest("t.x0", "c.x0")).alias("common"))
-    area = mask_area(union, ["image_id", "k"]).withColumnRenamed("pixels", "cropped")
-    out = targets.select("image_id", "ann_id").join(area, "image_id").join(mask_area(own, ["ann_id"]), "ann_id").join(common, ["ann_id", "k"], "left")
-    return out.select("image_id", "ann_id", "k", F.round(F.coalesce("common", F.lit(0)) / F.col("pixels"), 9).alias("coverage"), F.round(F.col("cropped") / pixels, 9).alias("crop_area"))
+    blocks = F.array(*[F.col(c).cast("int") for c in ("y0", "y1", "x0", "x1")])
+    union = union_masks(nested.where("x1 > x0 and y1 > y0").select("image_id", "k", blocks.alias("blocks")), ["image_id", "k"]).select("image_id", "k", F.col("pixels").alias("cropped"), F.col("blocks").alias("crop"))
+    own = rectangle_masks(targets, "ann_id").select("image_id", "ann_id", "pixels", "blocks")
+    out = with_common(own.join(union, "image_id"), "blocks", "crop")
+    return out.select("image_id", "ann_id", "k", F.round(F.col("common") / F.col("pixels"), 9).alias("coverage"), F.round(F.col("cropped") / pixels, 9).alias("crop_area"))
 
 
 def coverage_summary(rows: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def _stored(spark, sf_dir):
     columns = F.flatten(F.transform(F.sequence(F.lit(1).cast("bigint"), w), lambda i: F.when(i < w, F.array(h, HEIGHT - h)).otherwise(F.array(h))))
     counts = F.concat(F.array(x * HEIGHT + y), columns, F.array(WIDTH * HEIGHT - (x + w - 1) * HEIGHT - y - h))
     rows = annotations(spark, sf_dir).select("image_id", "ann_id", F.array(F.lit(HEIGHT), F.lit(WIDTH)).alias("size"), counts.alias("plain"))
-    return rows.withColumn("text", F.when(F.col("ann_id") % 2 == 0, rle.encoded("plain")))
+    return rows.withColumn("text", rle.encoded(F.when(F.col("ann_id") % 2 == 0, F.col("plain"))))
 
 
 def _decoded(rows):
@@ -33,15 +33,15 @@ def _decoded(rows):
 )
 def rle_polygon_iou(spark, sf_dir):
     """Run-length masks against polygon masks, pixel by pixel: those of one shape have an IoU of 1."""
-    stored = rle.rle_runs(_decoded(_stored(spark, sf_dir)), "ann_id").withColumnRenamed("ann_id", "rle_id")
+    stored = rle.rle_masks(_decoded(_stored(spark, sf_dir)), "ann_id").withColumnRenamed("ann_id", "rle_id")
     quad = F.array(F.array("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1"))
-    drawn = masks.polygon_runs(annotations(spark, sf_dir).select("image_id", F.col("ann_id").alias("polygon_id"), quad.alias("polygons")), "polygon_id")
+    drawn = masks.polygon_masks(annotations(spark, sf_dir).select("image_id", F.col("ann_id").alias("polygon_id"), quad.alias("polygons")), "polygon_id")
     return masks.mask_iou(stored, drawn, "rle_id", "polygon_id").select("rle_id", "polygon_id", "iou")
 
 
 @query(f"WITH {SQL} SELECT ann_id, x0::INT AS x0, y0::INT AS y0, x1::INT AS x1, y1::INT AS y1 FROM v_ann")
 def stored_mask_boxes(spark, sf_dir):
-    return masks.tight_box(rle.rle_runs(_decoded(_stored(spark, sf_dir)), "ann_id"), ["ann_id"])
+    return rle.rle_boxes(_decoded(_stored(spark, sf_dir)), "ann_id")
 
 
 @query(

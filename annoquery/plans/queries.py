@@ -175,15 +175,14 @@ def leftmost_regions(spark, sf_dir):
 
 @query(f"WITH {SQL}, p AS (SELECT p.image_id, pred_id, ann_id, greatest(0, least(p.x1, g.x1) - greatest(p.x0, g.x0)) * greatest(0, least(p.y1, g.y1) - greatest(p.y0, g.y0)) AS i, (p.x1 - p.x0) * (p.y1 - p.y0) + (g.x1 - g.x0) * (g.y1 - g.y0) AS s FROM v_pred p JOIN v_ann g ON p.image_id = g.image_id) SELECT image_id, pred_id, ann_id, round(i / (s - i), 9) AS iou FROM p WHERE i > 0")
 def mask_iou_pairs(spark, sf_dir):
-    left = masks.rectangle_runs(predictions(spark, sf_dir), "pred_id")
-    right = masks.rectangle_runs(annotations(spark, sf_dir), "ann_id")
+    left = masks.rectangle_masks(predictions(spark, sf_dir), "pred_id")
+    right = masks.rectangle_masks(annotations(spark, sf_dir), "ann_id")
     return masks.mask_iou(left, right, "pred_id", "ann_id")
 
 
 @query(f"WITH {SQL}, px AS (SELECT DISTINCT image_id, x, unnest(generate_series(y0::INT, y1::INT - 1)) AS y FROM (SELECT image_id, y0, y1, unnest(generate_series(x0::INT, x1::INT - 1)) AS x FROM v_ann)) SELECT image_id, count(*) AS pixels FROM px GROUP BY 1")
 def union_mask_area(spark, sf_dir):
-    runs = masks.rectangle_runs(annotations(spark, sf_dir), "ann_id")
-    return masks.mask_area(masks.union_runs(runs, ["image_id"]), ["image_id"])
+    return masks.union_masks(masks.rectangle_masks(annotations(spark, sf_dir), "ann_id"), ["image_id"]).select("image_id", "pixels")
 
 
 def _corpus(spark, sf_dir):
