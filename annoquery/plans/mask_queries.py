@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import coco_eval, conversion, masks, prediction_rows, rle
 from ..sources import coco_bundle, indexes
 from ..sources.views import SQL, annotations, predictions, shared_folder, table
+from .more_queries import box_counts
 from .queries import query
 
 HEIGHT, WIDTH = 250, 200
@@ -16,9 +17,7 @@ HEIGHT, WIDTH = 250, 200
 
 def _stored(spark, sf_dir):
     """Run-length masks of the annotations' boxes: as text for even ids, plain for odd ones."""
-    x, y, w, h = (F.expr(e).cast("bigint") for e in ("x0", "y0", "x1 - x0", "y1 - y0"))
-    columns = F.flatten(F.transform(F.sequence(F.lit(1).cast("bigint"), w), lambda i: F.when(i < w, F.array(h, HEIGHT - h)).otherwise(F.array(h))))
-    counts = F.concat(F.array(x * HEIGHT + y), columns, F.array(WIDTH * HEIGHT - (x + w - 1) * HEIGHT - y - h))
+    counts = box_counts(HEIGHT, WIDTH)
     rows = annotations(spark, sf_dir).select("image_id", "ann_id", F.array(F.lit(HEIGHT), F.lit(WIDTH)).alias("size"), counts.alias("plain"))
     return rows.withColumn("text", rle.encoded(F.when(F.col("ann_id") % 2 == 0, F.col("plain"))))
 

@@ -97,3 +97,8 @@ def _plan(rows):
 
 def test_areas_are_made_without_a_function_for_each_count(spark):
     assert "lambda" not in _plan(QUERIES["rle_mask_areas"](spark, DATA))
+
+
+@pytest.mark.parametrize("name", ["stored_mask_boxes", "stored_mask_faults"])
+def test_stored_masks_are_made_without_a_function_for_each_count(spark, name):
+    assert "lambda" not in _plan(QUERIES[name](spark, DATA))
