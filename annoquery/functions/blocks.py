@@ -5,6 +5,7 @@ Each function takes the masks of a slice of a batch at once; ``owner`` is the pl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,20 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """Places in the order of whole numbers, the last key first as in ``np.lexsort``; equal rows in any order. Keys that fit in one number are sorted as one."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    low = [int(k.min()) for k in keys]
+    span = [int(k.max()) - a + 1 for k, a in zip(keys, low)]
+    if math.prod(span) >= 1 << 62:
+        return np.lexsort(keys)
+    line = keys[-1] - low[-1]
+    for k, a, n in list(zip(keys, low, span))[-2::-1]:
+        line = line * n + (k - a)
+    return np.arange(len(line)) if (line[1:] >= line[:-1]).all() else np.argsort(line)
+
+
 def of_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and lengths of the lists; a null one is empty."""
     lengths = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -51,7 +66,7 @@ def united(owner: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) ->
     """Row runs merged where they meet or touch."""
     if not len(owner):
         return owner, y, x0, x1
-    order = np.lexsort((x0, y, owner))
+    order = ordered(x0, y, owner)
     owner, y, x0, x1 = owner[order], y[order], x0[order], x1[order]
     line = np.cumsum(np.append(False, (owner[1:] != owner[:-1]) | (y[1:] != y[:-1])))
     low, high = int(x0.min()), int(x1.max())
@@ -64,7 +79,7 @@ def united(owner: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) ->
 
 def stacked(owner: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, ...]:
     """Blocks (owner, y, y1, x0, x1) of row runs that do not meet: equal runs of rows that follow each other become one."""
-    order = np.lexsort((y, x1, x0, owner))
+    order = ordered(y, x1, x0, owner)
     owner, y, x0, x1 = owner[order], y[order], x0[order], x1[order]
     same = (owner[1:] == owner[:-1]) & (x0[1:] == x0[:-1]) & (x1[1:] == x1[:-1]) & (y[1:] == y[:-1] + 1)
     first = np.flatnonzero(np.append(True, ~same)) if len(owner) else np.zeros(0, np.int64)
@@ -156,7 +171,7 @@ def patches(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, ...]]:
         wide = across[a:b][i]
         px, py = x0[i] // size + at % wide, y[i] // size + at // wide
         covered = (np.minimum(x1[i], (px + 1) * size) - np.maximum(x0[i], px * size)) * (np.minimum(y1[i], (py + 1) * size) - np.maximum(y[i], py * size))
-        order = np.lexsort((px, py, owner[i]))
+        order = ordered(px, py, owner[i])
         own, px, py, covered = owner[i][order] + lo, px[order], py[order], covered[order]
         if len(own):
             first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (py[1:] != py[:-1]) | (px[1:] != px[:-1])))
@@ -186,7 +201,7 @@ def scanned(column: pa.Array) -> tuple[np.ndarray, ...]:
         e = np.repeat(np.arange(a, b), n[a:b])
         y = spread(low[a:b], n[a:b])
         place = np.ceil(xa[e] + (y + 0.5 - ya[e]) * (xb[e] - xa[e]) / (yb[e] - ya[e]) - 0.5).astype(np.int64)
-        order = np.lexsort((place, y, part[e]))
+        order = ordered(place, y, part[e])
         of, y, place = part[e][order], y[order], place[order]
         new = np.append(True, (of[1:] != of[:-1]) | (y[1:] != y[:-1])) if len(of) else np.zeros(0, bool)
         first = np.flatnonzero(new)
