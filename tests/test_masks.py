@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,27 @@ def test_areas_are_made_without_a_function_for_each_count(spark):
 @pytest.mark.parametrize("name", ["stored_mask_boxes", "stored_mask_faults"])
 def test_stored_masks_are_made_without_a_function_for_each_count(spark, name):
     assert "lambda" not in _plan(QUERIES[name](spark, DATA))
+
+
+def test_detections_matched_at_once_equal_those_matched_in_turn():
+    draw = random.Random(5)
+    for _ in range(60):
+        rows, group = [], []
+        for g in range(draw.randint(1, 6)):
+            for _ in range(draw.randint(1, 4)):
+                targets = draw.sample(range(4), draw.choice([0, 0, 1, 1, 2, 3]))
+                rows.append({"area": draw.choice([10.0, 1024.0, 5000.0, 1e4]), "candidates": [{"iou": draw.choice([0.5, 0.7, 0.95, 1.0]), "ann_id": t, "iscrowd": t == 3, "size": 900.0 * (t + 1) ** 2} for t in targets] or None})
+                group.append(g)
+        kind = pa.list_(pa.struct([("iou", pa.float64()), ("ann_id", pa.int64()), ("iscrowd", pa.bool_()), ("size", pa.float64())]))
+        table = pa.table({"area": [r["area"] for r in rows], "candidates": pa.array([r["candidates"] for r in rows], kind)})
+        hits, ignored = coco_eval._judge(table, np.array(group))
+        for g in set(group):
+            at = [i for i, x in enumerate(group) if x == g]
+            found = [(rows[i]["area"], [tuple(c.values()) for c in rows[i]["candidates"] or []]) for i in at]
+            for k, bounds in enumerate(coco_eval.AREAS.values()):
+                for t, least in enumerate(coco_eval.IOUS):
+                    assert [(bool(hits[i, k] >> t & 1), bool(ignored[i, k] >> t & 1)) for i in at] == coco_eval._match(found, bounds, min(least, 1 - 1e-10) - 1e-9)
+
+
+def test_precisions_shuffle_no_row_for_each_threshold(spark):
+    assert "MapInArrow _hits" in _plan(QUERIES["coco_average_precision"](spark, DATA))
