@@ -83,7 +83,8 @@ def attribute_phrase(label: Column, attribute: Column, n: Column) -> Column:
 def _expressions(parts: DataFrame, keys: list[str], template: Column, zh: Column, en: Column) -> DataFrame:
     """One record in either language for each group of parts that one expression names."""
     ids = F.array_sort(F.collect_list("ann_id"))  # the parts of one label in one image
-    groups = parts.groupBy("image_id", "label", "label_zh", *keys).agg(F.count("*").alias("n"), ids.alias("targets"))
+    n = F.size(F.collect_list(F.struct("ann_id"))).cast("long")  # lists are sorted once there are many groups; counts alone would keep all groups in a table in memory
+    groups = parts.groupBy("image_id", "label", "label_zh", *keys).agg(n.alias("n"), ids.alias("targets"))
     groups = groups.withColumn("zh", F.when(F.col("n") == 1, F.col("label_zh")).otherwise(F.concat(F.lit("所有"), "label_zh")))
     groups = groups.withColumn("en", F.when(F.col("n") == 1, F.concat(F.lit("the "), "label")).otherwise(F.concat(F.lit("all "), plural("label"))))
     both = F.explode(F.array(F.struct(F.lit("zh").alias("language"), zh.alias("query")), F.struct(F.lit("en").alias("language"), en.alias("query"))))

@@ -39,3 +39,11 @@ def test_violations_and_slots_of_empty_tables(spark):
     assert governance.spread_slots(none, "axis", "seed").count() == 0
     one = spark.createDataFrame([(1, None, None)], "id long, value string, n long")
     assert [tuple(r) for r in governance.violations(one, "id", {"n": F.col("n") > 0}).collect()] == [(1, "n")]
+
+
+def test_expressions_hold_no_table_of_all_groups(spark):
+    parts = spark.createDataFrame([(1, 12, "hood", "帽兜", "top", "上衣"), (1, 11, "hood", "帽兜", "top", "上衣"), (2, 21, "bow", "蝴蝶结", None, None)], "image_id long, ann_id long, label string, label_zh string, garment string, garment_zh string")
+    found = grounding.expressions(parts)
+    plan = found.select("query").distinct()._jdf.queryExecution().sparkPlan().toString()
+    assert " ObjectHashAggregate(keys=[image_id" in plan and " HashAggregate(keys=[image_id" not in plan
+    assert sorted((r["sample_id"], r["n"]) for r in found.where("language = 'en'").collect()) == [("1-hood-basic-en-11-12", 2), ("1-hood-relation-top-en-11-12", 2), ("2-bow-basic-en-21", 1)]
