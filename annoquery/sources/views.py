@@ -32,9 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (order, line number)."""
-    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    return table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    """One row per (order, line number), the first by the other columns.
+
+    Rows are dealt and sorted by order, so that what is grouped or joined by image needs no second shuffle. The last two columns only
+    settle ties, and let all views of a query read the same shuffle.
+    """
+    own = F.struct("l_linenumber")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    rows = table(spark, sf_dir, "lineitem").repartition("l_orderkey")
+    return rows.withColumn("first", ~F.lag(own).over(order).eqNullSafe(own)).where("first").drop("first")
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

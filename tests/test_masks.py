@@ -1,15 +1,17 @@
 """Stored masks against their pixels, and COCO matching against cases worked out by hand."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from annoquery.functions import box, text
+from annoquery.functions import blocks, box, text
 from annoquery.operators import coco_eval, conversion, masks, rle, scoring
 from annoquery.plans.queries import QUERIES
+from annoquery.sources import views
 
 DATA = "/root/testdata/sf0.001"
 
@@ -127,3 +129,22 @@ def test_detections_matched_at_once_equal_those_matched_in_turn():
 
 def test_precisions_shuffle_no_row_for_each_threshold(spark):
     assert "MapInArrow _hits" in _plan(QUERIES["coco_average_precision"](spark, DATA))
+
+
+def _shuffles(rows):
+    """Shuffles that a query made, without those that were read again."""
+    rows.collect()
+    return len(re.findall(r"^[\s:+-]*Exchange hashpartitioning", rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0], re.M))
+
+
+@pytest.mark.parametrize("name, most", [("mask_iou_pairs", 1), ("union_mask_area", 1)])
+def test_rows_that_lie_by_image_are_not_shuffled_again(spark, name, most):
+    assert _shuffles(QUERIES[name](spark, DATA)) <= most
+
+
+def test_lines_settle_ties_and_keep_null_keys(spark, tmp_path):
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    rows = [(o, n, p, 1, 1.0, 1.0, 0.0, 0.0, "R", s) for o, n, p, s in [(1, 1, 5, "O"), (1, 1, 5, "F"), (1, 1, 6, "A"), (1, 2, 9, "F"), (1, None, 3, "O"), (1, None, 2, "F"), (None, None, 1, "O"), (None, 1, 1, "F"), (2, 1, 8, "O")]]
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = views.lines(spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus").collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(1, 1, 5, "F"), (1, 2, 9, "F"), (1, None, 2, "F"), (None, None, 1, "O"), (None, 1, 1, "F"), (2, 1, 8, "O")], key=str)
