@@ -149,14 +149,27 @@ def shared(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def joined(mask: tuple) -> tuple[np.ndarray, ...]:
-    """Blocks of the union of each owner's blocks (sorted by owner), which may meet."""
-    owner = mask[0]
-    rows = np.bincount(owner, mask[2] - mask[1]) if len(owner) else np.zeros(0)
+    """Blocks of the union of each owner's blocks (sorted by owner), which may meet.
+
+    Blocks are cut at the upper and lower ends of their owner's blocks, not into rows: a cut never has more parts than the block has rows.
+    """
+    owner, y, y1, x0, x1 = mask
+    n = len(owner)
+    if not n:
+        return mask
+    of, at = np.append(owner, owner), np.append(y, y1)
+    order = ordered(at, of)
+    of, at = of[order], at[order]
+    new = np.append(True, (of[1:] != of[:-1]) | (at[1:] != at[:-1]))
+    ends = at[new]
+    place = np.empty(2 * n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    cuts = (owner, place[:n], place[n:], x0, x1)
     parts = []
-    for lo, hi in slices(rows):
-        own, *block = stacked(*united(*opened(*_cut(mask, lo, hi))))
-        parts.append((own + lo, *block))
-    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else mask
+    for lo, hi in slices(np.bincount(owner, cuts[2] - cuts[1])):
+        own, first, last, *side = stacked(*united(*opened(*_cut(cuts, lo, hi))))
+        parts.append((own + lo, ends[first], ends[last], *side))
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def patches(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, ...]]:

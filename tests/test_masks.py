@@ -148,3 +148,18 @@ def test_lines_settle_ties_and_keep_null_keys(spark, tmp_path):
     spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     found = views.lines(spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus").collect()
     assert sorted(map(tuple, found), key=str) == sorted([(1, 1, 5, "F"), (1, 2, 9, "F"), (1, None, 2, "F"), (None, None, 1, "O"), (None, 1, 1, "F"), (2, 1, 8, "O")], key=str)
+
+
+def test_unions_equal_their_pixels_and_need_no_rows():
+    draw = np.random.RandomState(7)
+    for _ in range(200):
+        owner = np.sort(draw.randint(0, 4, draw.randint(1, 12)))
+        y, x0 = draw.randint(-3, 9, (2, len(owner)))
+        mask = (owner, y, y + draw.randint(1, 6, len(owner)), x0, x0 + draw.randint(1, 6, len(owner)))
+        known = {(o, r, c) for o, a, b, u, v in zip(*mask) for r in range(a, b) for c in range(u, v)}
+        drawn = [(o, r, c) for o, a, b, u, v in zip(*blocks.joined(mask)) for r in range(a, b) for c in range(u, v)]
+        assert len(drawn) == len(known) and set(drawn) == known
+        assert [c.tolist() for c in blocks.joined(mask)] == [c.tolist() for c in blocks.stacked(*blocks.united(*blocks.opened(*mask)))]
+    high = 1 << 40
+    tall = tuple(np.array(v, np.int64) for v in ([0, 0], [0, high], [2 * high, 3 * high], [0, 5], [10, 20]))
+    assert [c.tolist() for c in blocks.joined(tall)] == [[0, 0, 0], [0, high, 2 * high], [high, 2 * high, 3 * high], [0, 0, 5], [10, 20, 20]]
