@@ -97,9 +97,9 @@ def macro_recall(overlaps: DataFrame, by: str, least: float = 92.0) -> DataFrame
 def crop_coverage(targets: DataFrame, crops: DataFrame, ks: list[int], pixels: int) -> DataFrame:
     """image_id, ann_id, k, coverage, crop_area: the share of a target that the first k crops of its image cover together,
     and the share of the image's pixels in them. crops have image_id, rank and corners inside the image."""
-    nested = crops.withColumn("k", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k >= F.col("rank"))))
+    nested = crops.where("image_id is not null").withColumn("k", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k >= F.col("rank"))))
     blocks = F.array(*[F.col(c).cast("int") for c in ("y0", "y1", "x0", "x1")])
-    union = union_masks(nested.where("x1 > x0 and y1 > y0").select("image_id", "k", blocks.alias("blocks")), ["image_id", "k"]).select("image_id", "k", F.col("pixels").alias("cropped"), F.col("blocks").alias("crop"))
+    union = union_masks(nested.where("x1 > x0 and y1 > y0").select("image_id", "k", blocks.alias("blocks")), ["image_id", "k"], 1).select("image_id", "k", F.col("pixels").alias("cropped"), F.col("blocks").alias("crop"))
     own = rectangle_masks(targets, "ann_id").select("image_id", "ann_id", "pixels", "blocks")
     out = with_common(own.join(union, "image_id"), "blocks", "crop")
     return out.select("image_id", "ann_id", "k", F.round(F.col("common") / F.col("pixels"), 9).alias("coverage"), F.round(F.col("cropped") / pixels, 9).alias("crop_area"))

@@ -137,7 +137,7 @@ def _shuffles(rows):
     return len(re.findall(r"^[\s:+-]*Exchange hashpartitioning", rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0], re.M))
 
 
-@pytest.mark.parametrize("name, most", [("mask_iou_pairs", 1), ("union_mask_area", 1)])
+@pytest.mark.parametrize("name, most", [("mask_iou_pairs", 1), ("union_mask_area", 1), ("crop_coverage", 3)])
 def test_rows_that_lie_by_image_are_not_shuffled_again(spark, name, most):
     assert _shuffles(QUERIES[name](spark, DATA)) <= most
 
