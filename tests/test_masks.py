@@ -163,3 +163,7 @@ def test_unions_equal_their_pixels_and_need_no_rows():
     high = 1 << 40
     tall = tuple(np.array(v, np.int64) for v in ([0, 0], [0, high], [2 * high, 3 * high], [0, 5], [10, 20]))
     assert [c.tolist() for c in blocks.joined(tall)] == [[0, 0, 0], [0, high, 2 * high], [high, 2 * high, 3 * high], [0, 0, 5], [10, 20, 20]]
+
+
+def test_operating_points_keep_pairs_once_for_all_points(spark):
+    assert not re.search(r"Aggregate \[threshold#\d+, k#\d+, image_id", _plan(QUERIES["operating_point_scan"](spark, DATA)))
