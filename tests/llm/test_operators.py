@@ -452,3 +452,11 @@ def test_packing_is_never_worse_than_best_fit_decreasing():
         for contents, times in plan:
             held.update({n: k * times for n, k in contents.items()})
         assert held == histogram
+
+
+def test_what_postings_add_is_known_before_the_first_query():
+    words = [np.array(w, np.int64) for w in ([7, 7, 9], [9, 11], [7])]
+    row = {c: a.tobytes() for c, a in zip(search.COLUMNS, search.shard_arrays([1, 2, 3], words))}
+    shard = search.Shard(row, np.array([7, 9]), np.array([2.0, 3.0]), 2.0, 1.2, 0.75)
+    add = lambda idf, tf, length: idf * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * length / 2))
+    assert np.allclose(shard.adds, [add(2.0, 2, 3), add(2.0, 1, 1), add(3.0, 1, 3), add(3.0, 1, 2), 0.0])  # no query has the last word
