@@ -8,9 +8,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from annoquery.llm import decontaminate, jaccard, langid, license, packing, pii, quality, search, substring, token_files
+from annoquery.llm import decontaminate, jaccard, langid, license, packing, pii, quality, search, shared, substring, token_files
 from annoquery.llm.queries import word_tokenizer
 from annoquery.llm.shared import TextEncoder, plain_words
 
@@ -460,3 +461,49 @@ def test_what_postings_add_is_known_before_the_first_query():
     shard = search.Shard(row, np.array([7, 9]), np.array([2.0, 3.0]), 2.0, 1.2, 0.75)
     add = lambda idf, tf, length: idf * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * length / 2))
     assert np.allclose(shard.adds, [add(2.0, 2, 3), add(2.0, 1, 1), add(3.0, 1, 3), add(3.0, 1, 2), 0.0])  # no query has the last word
+
+
+def zipf_shard():
+    """Whole-document queries against a shard of 1,500 documents of Zipf's words: the shard's row, its documents and the terms' weights."""
+    draw = np.random.default_rng(7)
+    words = [(draw.zipf(1.4, draw.integers(20, 200)) % 5000 + 1).astype(np.int64) for _ in range(1500)]
+    row = {c: a.tobytes() for c, a in zip(search.COLUMNS, search.shard_arrays(list(range(1500)), words))}
+    terms, df = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True)
+    return row, words, terms, np.log(1 + (1500 - df + 0.5) / (df + 0.5))
+
+
+def test_a_shard_takes_six_bytes_a_posting():
+    row, words, terms, _ = zipf_shard()
+    assert sum(map(len, row.values())) <= 6 * sum(len(np.unique(w)) for w in words) + 12 * len(terms) + 12 * len(words)
+
+
+def test_whole_documents_as_queries_score_less_than_half_of_the_postings():
+    row, words, terms, idf = zipf_shard()
+    mean = sum(map(len, words)) / 1500
+    shard = search.Shard(row, terms, idf, mean, 1.2, 0.75)
+    tf = np.zeros((1500, len(terms)))
+    for i, own in enumerate(words):
+        np.add.at(tf[i], np.searchsorted(terms, own), 1)
+    adds = idf * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * tf.sum(1, keepdims=True) / mean))
+    postings = 0
+    for i in range(0, 1500, 25):
+        query = np.searchsorted(terms, np.unique(words[i]))
+        scores = np.round(adds[:, query].sum(1), 6)
+        scores[i] = 0
+        best = np.lexsort((np.arange(1500), -scores))[:10]
+        best = best[scores[best] > 0]
+        before = shard.scored
+        for least in (0.0, scores[best[-1]] - 2e-6):  # the first round has no floor; only the postings of a later one count
+            shard.scored = before
+            ids, found = shard.top(query, i, 10, least)
+            assert ids.tolist() == best.tolist() and np.allclose(found, scores[best], atol=2e-6)
+        postings += int((tf[:, query] > 0).sum())
+    assert shard.scored < 0.5 * postings
+
+
+def test_each_shard_is_read_alone(spark, docs):
+    rows = docs.where("doc_id is not null").repartition(1)
+    shards = shared.staged(search.build_shards(rows, shard_docs=7), "shards", **search.ALONE)
+    groups = [pq.ParquetFile(f.removeprefix("file:").replace("//", "/")).metadata for f in shards.inputFiles()]
+    sizes = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert len(sizes) == shards.count() > 2 and set(sizes) == {1}
