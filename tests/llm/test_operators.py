@@ -390,6 +390,50 @@ def test_paraphrases_are_retrieved(spark):
     assert len(wanted) > 100 and len(found & wanted) >= 0.9 * len(wanted)
 
 
+def test_the_basis_is_fitted_on_all_passages(spark):
+    """Far more passages than ``fit_passages``: the basis holds as much of the whole matrix, repeats in a passage and odd lengths included, as the exact one."""
+    draw = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(400)])
+    texts = [" ".join(words[(i % 8) * 40 + np.minimum(draw.zipf(1.3, n), 80) - 1]) for i, n in enumerate(draw.integers(1, 150, 300).tolist())] + ["", None]
+    features = decontaminate.hashed_features(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    df, n_docs = decontaminate.document_frequencies(features)
+    assert n_docs == 302
+    hashed = [decontaminate._features(decontaminate._hashes(t)) for t in texts]
+    assert all(df[f] == sum(f in h for h in hashed) for f in set(hashed[0].tolist()))
+    items = [h for h in hashed if len(h) > 20][:5]
+    column = decontaminate.vocabulary_of(df, np.concatenate(items), 300)
+    weight, known = np.zeros(column.max() + 1), np.zeros(column.max() + 1)
+    weight[column], known[column] = np.log(303 / (df + 1)) + 0.1, df
+    weight[-1] = known[-1] = 0
+
+    def matrix(texts):
+        rows = []
+        for own in texts:
+            for a in decontaminate._starts(len(own), 32):
+                row = np.bincount(column[own[a : a + 32]], minlength=len(weight)) * weight
+                rows.append(row / max(np.linalg.norm(row), 1e-9))
+        return np.array(rows)
+
+    of_docs, of_items = matrix(hashed), matrix(items)
+    whole = of_docs.T @ of_docs * 20 / len(of_docs) + 0.1 * of_items.T @ of_items
+    basis = decontaminate.latent_basis(features, items, column, weight, known, 12, 32, 20, item_weight=0.1)
+    assert len(of_docs) > 1000 and np.allclose(basis.T @ basis, np.eye(12), atol=1e-4)
+    assert np.trace(basis.T @ whole @ basis) >= 0.98 * np.linalg.eigvalsh(whole)[-12:].sum()
+
+
+def test_every_word_of_the_benchmark_has_a_column(spark):
+    """Paraphrases are retrieved also where the benchmark has more words than ``vocabulary``, and in each block of items."""
+    draw = random.Random(13)
+    make = lambda n: [f"w{draw.randrange(4000)}" for _ in range(n)]
+    items = [make(40) for _ in range(12)]
+    texts = [make(60) + [x if j >= 36 or draw.random() > 0.35 else "other" for j, x in enumerate(w)] + make(60) for w in items]
+    wanted = {(d, d) for d, text in enumerate(texts) if decontaminate.common_subsequence(items[d], text) >= 22}
+    table = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w[:-4]) + ". " + " ".join(w[-4:])) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(table, bench, vocabulary=8, item_block=6).collect()}
+    assert len(wanted) > 8 and found == wanted
+
+
 def test_short_items(spark):
     table = spark.createDataFrame([(1, "well Quo vadis? he said"), (2, "vadis quo"), (3, None), (None, "so quo vadis")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "quo vadis"), (8, "said"), (9, " . ")], "item_id long, text string")
