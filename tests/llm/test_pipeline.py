@@ -2,6 +2,7 @@
 
 import collections
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -39,3 +40,20 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_decontamination_fits_its_basis_on_all_passages(spark, tmp_path, monkeypatch):
+    """3,000 documents with 27,000 passages: the words of all of them get to the basis, not those of about 20,000 passages."""
+    from annoquery.llm import decontaminate
+
+    spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6. w7 w8 w9.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 31 + j * j) % 5000}" for j in range(160))) for i in range(3000)], "doc_id long, text string").repartition(4)
+    seen, fit = [], decontaminate.latent_basis
+
+    def watched(features, *rest):
+        seen.extend(int(np.frombuffer(r["sizes"], np.int32).sum()) for r in features.select("sizes").collect())
+        return fit(features, *rest)
+
+    monkeypatch.setattr(decontaminate, "latent_basis", watched)
+    assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).count() == 3000
+    assert sum(seen) == 3000 * 160
