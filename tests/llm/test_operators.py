@@ -551,3 +551,13 @@ def test_each_shard_is_read_alone(spark, docs):
     groups = [pq.ParquetFile(f.removeprefix("file:").replace("//", "/")).metadata for f in shards.inputFiles()]
     sizes = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
     assert len(sizes) == shards.count() > 2 and set(sizes) == {1}
+
+
+def test_the_writer_of_shards_keeps_no_values(spark, docs):
+    """Least and greatest values of a column of shards are whole shards, which the writer would hold until its file ends; ``place`` has them, for the rounds."""
+    shards = search.build_shards(docs.where("doc_id is not null"), shard_docs=7).selectExpr("*", "0.5 AS place")
+    shards = shared.staged(shards, "shards", **search.ALONE)
+    for f in shards.inputFiles():
+        group = pq.ParquetFile(f.removeprefix("file:").replace("//", "/")).metadata.row_group(0)
+        columns = [group.column(i) for i in range(group.num_columns)]
+        assert {c.path_in_schema for c in columns if c.statistics is not None and c.statistics.has_min_max} == {"place"}
